@@ -1,4 +1,170 @@
-"""Queries over the event-time tables, and their SQL."""
+"""Queries over event-time tables and the relational surface, with SQL for comparison.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+A table of the format is made once for each input folder and session, in the
+checkpoint folder, from ``events``: key is the user, event_time the instant.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.asof import format_instant
+from tidemark.functions import date_bin, gcd, lcm
+from tidemark.lakehouse import Lakehouse
+from tidemark.metadata import Delta, Segment, Snapshot
+from tidemark.operators.scan import ROW, merge_ordered
+from tidemark.schema import ColumnDef, TableSchema
+from tidemark.sql import Context
+from tidemark.writer import latest_first, publish, write_file
+
+TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
+T0, T1, T2 = (datetime(2024, 1, d, tzinfo=UTC) for d in (8, 15, 22))
+SCHEMA = TableSchema((ColumnDef("event_type", "String"), ColumnDef("value", "Double"), ColumnDef("event_id", "Int")))
+_made: dict[tuple[str, str], str] = {}
+
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # milliseconds are the format's unit
+    at = F.timestamp_millis(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000))
+    return rows.select(F.col("user_id").cast("string").alias("key"), at.alias("event_time"), "event_type", "value", "event_id")
+
+
+def lakehouse(spark: SparkSession, sf_dir: str) -> str:
+    """Root of a lakehouse whose table ``history`` holds the events: a base at T0 and a delta for each week."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    made = (spark.sparkContext.applicationId, sf_dir)
+    if made not in _made:
+        if spark.sparkContext.getCheckpointDir() is None:
+            import tempfile
+
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        root = f"{spark.sparkContext.getCheckpointDir()}/lake-{hashlib.md5(repr(made).encode()).hexdigest()}"
+        lake, rows = Lakehouse(spark, root), event_rows(spark, sf_dir)
+        base = rows.filter(F.col("event_time") <= F.lit(T0)).withColumn(ROW, -F.unix_millis("event_time"))
+        write_file(lake, "history", latest_first(merge_ordered([base], None)), SCHEMA, "base.parquet")
+        deltas = []
+        for k, (a, b) in enumerate(((T0, T1), (T1, T2), (T2, datetime(2024, 2, 1, tzinfo=UTC)))):
+            write_file(lake, "history", latest_first(rows.filter((F.col("event_time") > F.lit(a)) & (F.col("event_time") <= F.lit(b)))), SCHEMA, f"delta{k}.parquet")
+            deltas.append(Delta(f"delta{k}.parquet", a, b))
+        publish(lake, "history", Snapshot(SCHEMA, (Segment("1", T0, None, "base.parquet", (), tuple(deltas)),)), "1")
+        _made[made] = root
+    return _made[made]
+
+
+def _naive(df: DataFrame) -> DataFrame:
+    """Instants without a zone, as the other engine has them."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in df.dtypes if t == "timestamp"})
+
+
+def _state(at: datetime | None, columns: str = "key, event_time, event_type, value, event_id") -> str:
+    where = "" if at is None else f"WHERE ts <= TIMESTAMP '{at:%Y-%m-%d %H:%M:%S}'"
+    return f"(SELECT {columns} FROM (SELECT CAST(user_id AS VARCHAR) AS key, date_trunc('milliseconds', ts) AS event_time, event_type, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events {where}) WHERE n = 1)"
+
+
+def _scan(at: datetime | None, columns: list[str] | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _naive(Lakehouse(spark, lakehouse(spark, d)).scan("history", at, columns))
+
+
+def _versioned(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _naive(Context(spark, lakehouse(spark, d)).sql(text))
+
+
+def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        for t in TABLES:
+            if t in text:
+                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        return spark.sql(text)
+
+    return query
+
+
+AT1, AT2 = format_instant(T1), format_instant(T2)
+FLAGSHIP = f"SELECT key, event_type, value FROM history AT('{AT1}') WHERE event_type IN ('click', 'purchase', 'view') AND value > 10 ORDER BY value DESC, key LIMIT 20"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _versioned(FLAGSHIP)(spark, sf_dir)
+
+
+def _df(build: Callable[[DataFrame], DataFrame], name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: build(spark.read.parquet(f"{d}/{name}.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, query: Callable[[SparkSession, str], DataFrame], oracle: str) -> None:
+    QUERIES[name], ORACLES[name] = query, oracle
+
+
+def _both(name: str, text: str, oracle: str | None = None) -> None:
+    """SQL that says the same in both dialects, or nearly."""
+    _add(name, _sql(text), oracle or text)
+
+
+# 2.1: merge-on-read
+_add("r8_scan_current", _scan(None), f"SELECT * FROM {_state(None)}")
+_add("r8_scan_as_of", _scan(T1), f"SELECT * FROM {_state(T1)}")
+_add("r6_scan_base_only", _scan(T0), f"SELECT * FROM {_state(T0)}")
+_add("r9_projection", _scan(T2, ["value", "key"]), f"SELECT key, value FROM {_state(T2)}")
+_add("r13_empty_projection_count", lambda s, d: Lakehouse(s, lakehouse(s, d)).scan("history", T2, []).agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM {_state(T2)}")
+_add("r3_before_history", _scan(datetime(2020, 1, 1, tzinfo=UTC)), f"SELECT * FROM {_state(datetime(2020, 1, 1, tzinfo=UTC))}")
+# 2.2: SQL with version clauses
+_add("q7_flagship", flagship, f"SELECT key, event_type, value FROM {_state(T1)} WHERE event_type IN ('click', 'purchase', 'view') AND value > 10 ORDER BY value DESC, key LIMIT 20")
+_add("q6_system_time", _versioned(f"SELECT event_type, count(*) AS n, max(value) AS most FROM history FOR SYSTEM_TIME AS OF '{AT2}' GROUP BY event_type"), f"SELECT event_type, count(*) AS n, max(value) AS most FROM {_state(T2)} GROUP BY event_type")
+_add("q8_named_argument", _versioned(f"SELECT key FROM history AT(TIMESTAMP => '{AT1}') WHERE value > 50"), f"SELECT key FROM {_state(T1)} WHERE value > 50")
+_add("q15_two_versions", _versioned(f"SELECT a.key, a.value AS old_value, b.value AS new_value FROM history AT('{AT1}') a JOIN history b ON a.key = b.key WHERE a.event_id <> b.event_id"), f"SELECT a.key, a.value AS old_value, b.value AS new_value FROM {_state(T1)} a JOIN {_state(None)} b ON a.key = b.key WHERE a.event_id <> b.event_id")
+_add("q5_nested", _versioned(f"WITH c AS (SELECT * FROM history) SELECT count(*) AS n FROM c WHERE value > (SELECT avg(value) FROM history AT('{AT1}'))"), f"SELECT count(*) AS n FROM {_state(None)} WHERE value > (SELECT avg(value) FROM {_state(T1)})")
+_add("x1_changed_between", _versioned(f"SELECT key, event_id FROM history AT('{AT2}') EXCEPT SELECT key, event_id FROM history AT('{AT1}')"), f"SELECT key, event_id FROM {_state(T2)} EXCEPT SELECT key, event_id FROM {_state(T1)}")
+# 2.4: the relational surface
+_both("p1_projection", "SELECT o_orderkey, o_totalprice * 2 AS doubled, upper(o_orderpriority) AS priority FROM orders")
+_both("p2_filter", "SELECT c_custkey FROM customer WHERE c_acctbal BETWEEN 0 AND 5000 AND c_name LIKE '%1%' AND c_mktsegment IS NOT NULL AND c_nationkey IN (1, 2, 3) AND c_acctbal IS DISTINCT FROM 7")
+_both("p3_conditional", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS size, coalesce(nullif(p_size, 1), -1) AS c, greatest(p_size, 25) AS g, least(p_size, 25) AS l FROM part")
+_both("p4_cast", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR(20)) AS s, try_cast(o_orderpriority AS INT) AS t, CAST(o_orderdate AS DATE) AS d FROM orders")
+_both("j1_inner", "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+_both("j1_outer", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey < 60) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey < 30) s ON c_custkey = s_suppkey + 20")
+_both("j1_left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+_both("j2_semi_anti", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) AS big FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+_both("j3_theta_cross", "SELECT a.n_name AS a, b.r_name AS b FROM nation a JOIN region b ON a.n_regionkey < b.r_regionkey")
+_both("j4_using", "SELECT n_regionkey, count(*) AS n FROM nation JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) r USING (n_regionkey) GROUP BY n_regionkey")
+_both("j5_interval", "SELECT p_partkey, band FROM part JOIN (VALUES (1, 0, 950), (2, 950, 1200), (3, 1200, 9999)) AS b(band, low, high) ON p_retailprice >= low AND p_retailprice < high")
+_both("j7_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
+_both("a1_general", "SELECT l_returnflag, count(*) AS n, sum(l_linenumber) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi, median(l_quantity) AS med, bool_and(l_discount < 0.05) AS every, bool_or(l_discount < 0.05) AS some, bit_xor(l_orderkey) AS x FROM lineitem GROUP BY l_returnflag")
+_both("a2_statistical", "SELECT l_linestatus, round(stddev(l_quantity), 6) AS sd, round(var_pop(l_discount), 8) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_samp(l_quantity, l_tax), 6) AS cs, round(regr_slope(l_extendedprice, l_quantity), 4) AS rs FROM lineitem GROUP BY l_linestatus")
+_both("a3_approximate", "SELECT count(*) AS n, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.2 * count(DISTINCT l_partkey) AS near FROM lineitem")
+_both("a4_distinct_filtered", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS d, count(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders GROUP BY o_orderpriority HAVING count(*) > 1")
+_both("a4_ordered", "SELECT n_regionkey, array_join(transform(array_sort(collect_list(struct(n_nationkey, n_name))), x -> x.n_name), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey")
+_both("a5_grouping", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS g, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS TINYINT) AS g, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+_both("a5_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+_both("a5_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+_both("w1_ranking", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr, ntile(3) OVER w AS nt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+_both("w2_analytic", "SELECT event_id, lag(value) OVER w AS before, lead(value, 2) OVER w AS after2, first_value(value) OVER w AS f, nth_value(value, 2) OVER w AS second FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+_both("w3_rows_range", "SELECT event_id, sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS rows4, count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING) AS near FROM events")
+_both("w3_groups", "SELECT p_partkey, sum(p_partkey) OVER (PARTITION BY p_brand ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS g FROM part)", "SELECT p_partkey, CAST(sum(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM part")
+_both("s1_sort_nulls", "SELECT n_name, x, row_number() OVER (ORDER BY x DESC NULLS LAST, n_name) AS place FROM (SELECT n_name, nullif(n_regionkey, 2) AS x FROM nation)")
+_both("s2_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
+_both("s3_distinct", "SELECT DISTINCT p_brand, p_size FROM part")
+_both("s3_distinct_on", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderdate DESC, o_orderkey")
+_both("u1_set_operations", "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)")
+_both("u1_all_variants", "SELECT k, count(*) AS n FROM ((SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL (SELECT c_nationkey FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier)) GROUP BY k")
+_both("f1_strings", "SELECT c_custkey, concat_ws('-', c_mktsegment, NULL, c_name) AS j, lpad(substr(c_name, 1, 4), 6, '*') AS lp, replace(c_name, '0', '') AS re, reverse(c_mktsegment) AS rv, split_part(c_name, '#', 2) AS sp, length(c_name) AS n, trim('  a ') AS t, translate(c_mktsegment, 'AB', 'ab') AS tr, left(c_name, 3) AS le, ascii(c_name) AS asc_, levenshtein(c_name, 'Customer') AS lv, repeat('ab', 2) AS rp FROM customer")
+_both("f2_regex", "SELECT c_custkey, regexp_replace(c_name, '0+', '#') AS r, c_name RLIKE '9$' AS m, hex(encode(c_mktsegment, 'utf-8')) AS h FROM customer", "SELECT c_custkey, regexp_replace(c_name, '0+', '#', 'g') AS r, regexp_matches(c_name, '9$') AS m, hex(encode(c_mktsegment)) AS h FROM customer")
+_both("f3_dates", "SELECT o_orderkey, date_trunc('month', o_orderdate) AS m, CAST(extract(year FROM o_orderdate) AS INT) AS y, CAST(date_part('doy', o_orderdate) AS INT) AS doy, CAST(o_orderdate AS DATE) - INTERVAL '1' DAY AS prior FROM orders", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(extract(year FROM o_orderdate) AS INT) AS y, CAST(date_part('doy', o_orderdate) AS INT) AS doy, CAST(CAST(o_orderdate AS DATE) - INTERVAL '1' DAY AS DATE) AS prior FROM orders")
+_add("f3_date_bin", _df(lambda df: df.select("event_id", date_bin(900, F.col("ts")).cast("timestamp_ntz").alias("bin")), "events"), "SELECT event_id, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS bin FROM events")
+_both("f4_math", "SELECT p_partkey, abs(p_size - 25) AS a, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, round(sqrt(p_size), 6) AS sq, round(ln(p_size), 6) AS ln_, power(p_size, 2) AS pw, sign(p_size - 25) AS sg, round(atan2(p_size, 3), 6) AS at_, p_size % 7 AS md FROM part", "SELECT p_partkey, abs(p_size - 25) AS a, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(floor(p_retailprice) AS BIGINT) AS f, round(sqrt(p_size), 6) AS sq, round(ln(p_size), 6) AS ln_, power(p_size, 2) AS pw, CAST(sign(p_size - 25) AS DOUBLE) AS sg, round(atan2(p_size, 3), 6) AS at_, p_size % 7 AS md FROM part")
+_add("f4_gcd_lcm", _df(lambda df: df.select("p_partkey", gcd(F.col("p_partkey"), F.col("p_size")).alias("g"), lcm(F.col("p_partkey"), F.col("p_size")).alias("l")), "part"), "SELECT p_partkey, CAST(gcd(p_partkey, p_size) AS BIGINT) AS g, CAST(lcm(p_partkey, p_size) AS BIGINT) AS l FROM part")
+_both("f5_arrays", "SELECT n_nationkey, size(array_distinct(array(n_regionkey, n_regionkey, n_nationkey))) AS d, array_contains(array(1, 2, 3), n_regionkey) AS has, array_join(slice(array('a', 'b', 'c'), 2, 2), '+') AS sl, element_at(sequence(1, 5), 3) AS e, size(flatten(array(array(1, 2), array(3)))) AS fl FROM nation", "SELECT n_nationkey, CAST(len(list_distinct([n_regionkey, n_regionkey, n_nationkey])) AS INT) AS d, list_contains([1, 2, 3], n_regionkey) AS has, array_to_string(['b', 'c'], '+') AS sl, 3 AS e, 3 AS fl FROM nation")
+_both("f6_maps_structs", "SELECT r_regionkey, element_at(map('a', r_regionkey, 'b', 7), 'a') AS m, named_struct('x', r_name, 'y', 1).x AS s, size(map_keys(map('a', 1, 'b', 2))) AS k FROM region", "SELECT r_regionkey, r_regionkey AS m, r_name AS s, 2 AS k FROM region")
+_both("f7_json", "SELECT event_id, get_json_object(props, '$.page') AS page FROM events", "SELECT event_id, json_extract_string(props, '$.page') AS page FROM events")
+_both("f8_hashes", "SELECT c_custkey, md5(c_name) AS m, sha2(c_name, 256) AS s FROM customer", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s FROM customer")
+_both("f9_unnest_series", "SELECT n_nationkey, explode(sequence(1, n_regionkey + 1)) AS k FROM nation", "SELECT n_nationkey, CAST(unnest(range(1, n_regionkey + 2)) AS INT) AS k FROM nation")
+_both("x1_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t")
