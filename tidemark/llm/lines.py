@@ -129,9 +129,11 @@ def judge(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """The documents, without failing and repeated lines; those that lose too much are left out."""
     rest = F.struct(*[F.col(c) for c in docs.columns]).alias("rest")
-    rows = _judged(docs.select(rest, "text"), "rest").withColumn("kept_chars", _kept_chars())
-    rows = rows.filter((F.col("kept_chars") > 0) & (F.col("kept_chars") >= (1 - MOST_LOST) * F.col("word_chars")))
-    return rows.select(*[(F.array_join("left", "\n") if c == "text" else F.col(f"rest.{c}")).alias(c) for c in docs.columns])
+    rows = _judged(docs.select(rest, "text"), "rest").select("rest", "word_chars", "left", _kept_chars().alias("kept_chars"))
+    enough = (F.col("kept_chars") > 0) & (F.col("kept_chars") >= (1 - MOST_LOST) * F.col("word_chars"))
+    # no filter: the optimiser would move it below all steps and write them out for each use
+    rows = rows.select("rest", F.explode(F.when(enough, F.array(F.array_join("left", "\n"))).otherwise(F.array().cast("array<string>"))).alias("cleaned"))
+    return rows.select(*[(F.col("cleaned") if c == "text" else F.col(f"rest.{c}")).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -108,7 +108,10 @@ def report(docs: DataFrame) -> DataFrame:
         return F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
     found = scan(docs).withColumns({"base": ordered("base"), "spans": ordered("spans")})
-    counts = {f"n_{k}": F.size(F.filter("base", lambda x, n=n: x["kind"] == n)).cast("long") for n, k in enumerate(KINDS[:3])}
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
+    counts = {f"n_{k}": count(n) for n, k in enumerate(KINDS[:3])}
     return found.select("doc_id", *[v.alias(k) for k, v in counts.items()], F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
