@@ -24,3 +24,10 @@ def test_agrees_with_sql(spark, name):
     assert columns == sorted(want.columns)
     got = canonical(df.select(*columns).collect())
     assert got == canonical(con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({ORACLES[name]})").fetchall())
+
+
+def test_full_join_is_over_whole_tables(spark):
+    rows = QUERIES["j1_outer"](spark, DIR).collect()
+    for column, table in (("c_custkey", "customer"), ("s_suppkey", "supplier")):
+        whole = spark.read.parquet(f"{DIR}/{table}.parquet").select(column).collect()
+        assert sorted(r[column] for r in rows if r[column] is not None) == sorted(r[0] for r in whole)
