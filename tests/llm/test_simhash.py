@@ -95,3 +95,20 @@ def test_components(spark):
             if a in up and b in up:
                 up[a] = up[b] = min(up[a], up[b])
     assert got == up
+
+
+def test_lone_pairs_at_the_limit(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    rows, pairs = [], 0
+    for words, common in ([(9, None)] * 150 + [(19, None)] * 60 + [(184, 164)] * 90):
+        one = [word() for _ in range(words)]
+        # a word less, or another end: 4 of 5, 14 of 15 or 160 of 200 shingles are common
+        two = one[:-1] if common is None else one[:common] + [word() for _ in range(words - common)]
+        rows += [(2 * pairs, " ".join(one), "x"), (2 * pairs + 1, " ".join(two), "x")]
+        pairs += 1
+    df = spark.createDataFrame(rows, SCHEMA)
+    for options in ({}, {"tables": 1, "distance": 0}):
+        got = {x.doc_id: x.class_id for x in near_duplicates(df, **options).collect()}
+        assert [k for k in range(pairs) if got[2 * k + 1] != 2 * k] == []
+        assert all(got[2 * k] == 2 * k for k in range(pairs))

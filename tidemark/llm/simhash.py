@@ -6,9 +6,13 @@ compared nor expanded.  Several tables group the classes by sampled bits;
 within a group, pairs at a small Hamming distance are linked.  Groups are read
 in an order refined by additional bits and cut into capped blocks; what lies in
 different blocks of one group is compared afterwards, but only across families
-that aren't linked yet, in tasks of two blocks.  Linked classes make families;
-within a family every pair at a candidate distance is verified by the exact
-Jaccard similarity of the shingle sets, unless both are already joined.
+that aren't linked yet, in tasks of two blocks.
+
+Sampling misses some pairs.  So classes whose prefixes share enough shingles
+are linked too: in one order of all shingles, the rarer first, sets as similar
+as asked for always share one of their first ``n - ceil(similarity n) + 1``.
+Linked classes make families; within a family every pair is verified by the
+exact Jaccard similarity of the shingle sets, unless both are already joined.
 
 Rows: every input row gives one row.  A null or empty text, or one of white
 space only, has no shingles, links with nothing and is kept.  Rows with equal
@@ -72,9 +76,48 @@ def signatures(found: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total > size, axis=1, bitorder="little").view(np.uint64)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, node (hash of the shingle set), n shingles and the SimHash; node is null without shingles."""
+def common_shingles(docs: DataFrame, sample: int = 16_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of about ``sample`` texts, sorted, and in how many each is.
+
+    They only set an order, so what the sample misses costs time, no pair.
+    """
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(unique_shingles(data, offsets)[0].view(np.int64))], ["shingle"])
+
+    share = max(1, docs.count() // sample)
+    texts = docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select(F.col("text").cast("string"))
+    found = texts.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    rows = found.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    shingle, n = rows.column("shingle").to_numpy().view(U64), rows.column("n").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def prefixes(found: np.ndarray, at: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> pa.Array:
+    """Of each sorted set, the members that come first (by number in ``common``, then by hash)."""
+    shingle, often = common
+    rank = np.zeros(len(found), np.int64)
+    if len(shingle):
+        k = np.minimum(np.searchsorted(shingle, found), len(shingle) - 1)
+        rank = np.where(shingle[k] == found, often[k], 0)
+    size = np.diff(at)
+    length = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+    parts = []
+    for a, b, m in zip(at[:-1].tolist(), at[1:].tolist(), length.tolist(), strict=True):
+        part = found[a:b]
+        parts.append((part[np.lexsort((part, rank[a:b]))] if rank[a:b].any() else part)[:m])
+    values = np.concatenate(parts) if parts else found[:0]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def sketch(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """doc_id, text_key, node (hash of the shingle set), n shingles, the SimHash and the prefix; node is null without shingles."""
     prepare(docs.sparkSession)
+    common = common_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,10 +126,10 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sig = signatures(found, at).view(np.int64)
                 size = np.diff(at)
                 node = [int.from_bytes(hashlib.blake2b(found[i:j].tobytes(), digest_size=8).digest(), "little", signed=True) if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node, pa.int64()), pa.array(size), *[pa.array(np.ascontiguousarray(sig[:, k])) for k in range(WORDS64)]], ["doc_id", "text_key", "node", "n", *SIG])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node, pa.int64()), pa.array(size), *[pa.array(np.ascontiguousarray(sig[:, k])) for k in range(WORDS64)], prefixes(found, at, common, similarity)], ["doc_id", "text_key", "node", "n", *SIG, "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n long, " + ", ".join(f"{c} long" for c in SIG))
+    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n long, " + ", ".join(f"{c} long" for c in SIG) + ", prefix array<long>")
 
 
 class _Forest:
@@ -338,6 +381,73 @@ def _across_blocks(over: DataFrame, found: DataFrame, distance: int, cap: int) -
     return tasks.mapInArrow(link, "a long, b long").distinct()
 
 
+def _prefix_edges(rows: DataFrame, families: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes of different families that may be similar enough: by their sizes, and
+    by how many shingles their prefixes share, as at most the rest of one set can be common besides."""
+    share = similarity / (1 + similarity)
+
+    def least(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        rest = np.ceil(similarity * np.maximum(n, m) - 1e-9) - 1
+        return np.ceil(share * (n + m) - 1e-9 - rest).astype(np.int64)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, n, family in _groups(batches, 1):
+            new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+            key, node, n, family = key[new], node[new], n[new], family[new]
+
+            def pairs(i: np.ndarray, j: np.ndarray, node=node, n=n, family=family) -> pa.RecordBatch:
+                ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (family[i] != family[j])
+                i, j = np.broadcast_to(i, ok.shape)[ok], j[ok]
+                return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(least(n[i], n[j]))], ["a", "b", "least"])
+
+            bounds = _bounds([key], 1)
+            size = np.diff(bounds)
+            left = np.repeat(bounds[1:], size) - np.arange(len(key)) - 1
+            i, left = (x[np.repeat(size <= 64, size)] for x in (np.arange(len(key)), left))
+            k = 1
+            while len(i := i[left >= k]):
+                left = left[left >= k]
+                yield pairs(i, i + k)
+                k += 1
+            for g in np.flatnonzero(size > 64).tolist():
+                for x in range(bounds[g], bounds[g + 1] - 1):
+                    yield pairs(np.array([x]), np.arange(x + 1, bounds[g + 1]))
+
+    each = rows.filter("node is not null").select("node", "n", "prefix").join(families, "node", "left")
+    each = each.select(F.explode("prefix").alias("key"), "node", "n", F.coalesce("component", "node").alias("family"))
+    found = each.repartition("key").sortWithinPartitions("key", "node").mapInArrow(link, "a long, b long, least long")
+    return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).filter("n >= least").select("a", "b")
+
+
+def _join_rest(sets: list[np.ndarray], role: np.ndarray | None, similarity: float, forest: _Forest) -> list[tuple[int, int]]:
+    """Join all similar sets that aren't joined yet, from the sizes of their intersections; the new links.
+
+    One of such two sets isn't in the largest part, so that part's sets needn't be looked up.
+    """
+    parts = np.array([forest.root(k) for k in range(len(sets))])
+    found, n_found = np.unique(parts, return_counts=True)
+    if len(found) == 1:
+        return []
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(members := np.concatenate(sets), kind="stable")
+    members, owner = members[order], np.repeat(np.arange(len(sets)), size)[order]
+    links = []
+    for i in np.flatnonzero(parts != found[np.argmax(n_found)]).tolist():
+        fits = (parts != parts[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9)
+        if role is not None:
+            fits &= role != role[i]
+        if not fits.any():
+            continue
+        low = np.searchsorted(members, sets[i])
+        many = np.searchsorted(members, sets[i], "right") - low
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero(fits & (both >= similarity * (size + size[i] - both) - 1e-9)).tolist():
+            if forest.join(i, j):
+                links.append((i, j))
+    return links
+
+
 def _verify(texts: DataFrame, families: DataFrame, distance: int, similarity: float, block: int) -> DataFrame:
     """Edges between classes of a family whose shingle sets are similar enough.
 
@@ -372,6 +482,9 @@ def _verify(texts: DataFrame, families: DataFrame, distance: int, similarity: fl
                 forest.join(x, y)
                 a.append(node[x])
                 b.append(node[y])
+        for x, y in _join_rest([h[3] for h in held], role, similarity, forest):
+            a.append(node[x])
+            b.append(node[y])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,12 +515,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, distance: int = 56
     with a deviation of 6); ``cap``: rows of a group compared at once;
     ``block``: classes of a family compared in one task.  ``bits`` should be
     raised with the corpus, by one for each doubling beyond some ten million
-    distinct documents, and ``tables`` by a sixth with it.
+    distinct documents, and ``tables`` by a sixth with it.  They set the time
+    that is taken; which pairs are found doesn't depend on them.
     """
-    rows = cut_lineage(sketch(docs))
+    rows = cut_lineage(sketch(docs, similarity))
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SIG])
     nodes = cut_lineage(nodes)
-    found = components(_candidates(nodes, distance, tables, bits, cap, seed))
+    sampled = components(_candidates(nodes, distance, tables, bits, cap, seed))
+    exact = _prefix_edges(rows, sampled, similarity)
+    found = components(sampled.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(exact))
     size = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / 2_000_000)).cast("int")
     family = found.join(nodes, "node").groupBy("component").agg(size.alias("n_blocks"))
     family = found.join(family, "component").select("node", F.col("component").alias("family"), "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"))
