@@ -32,9 +32,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
     kept = near_duplicates(docs).filter("kept").select("doc_id", "text_key").distinct()
-    same = F.expr("pipe_key = text_key and pipe_id <=> k.doc_id")
-    rows = _keyed(docs).join(kept.alias("k"), same, "left_semi")
-    return rows.dropDuplicates(["pipe_id", "pipe_key"]).select(*docs.columns)
+    # plain keys, so that the texts are shuffled once for the join and the repeats
+    def keys(rows: DataFrame, own: str, key: str) -> DataFrame:
+        return rows.withColumns({"pipe_key": F.col(key), "pipe_some": F.coalesce(own, F.lit(0).cast("long")), "pipe_none": F.col(own).isNull()})
+
+    on = ["pipe_key", "pipe_some", "pipe_none"]
+    rows = keys(_keyed(docs), "pipe_id", "pipe_key").join(keys(kept, "doc_id", "text_key").select(*on), on, "left_semi")
+    return rows.dropDuplicates(on).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

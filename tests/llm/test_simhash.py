@@ -112,3 +112,17 @@ def test_lone_pairs_at_the_limit(spark):
         got = {x.doc_id: x.class_id for x in near_duplicates(df, **options).collect()}
         assert [k for k in range(pairs) if got[2 * k + 1] != 2 * k] == []
         assert all(got[2 * k] == 2 * k for k in range(pairs))
+
+
+def test_near_copies_that_share_an_id(spark):
+    import corpus_pipeline
+
+    base = " ".join(f"w{k}" for k in range(100))
+    for ids in ((5, 5, 9), (None, None, None), (None, 5, 5)):
+        rows = [(i, f"{base} end{k}", "x") for k, i in enumerate(ids)]
+        df = spark.createDataFrame([*rows, rows[1]], SCHEMA)
+        got = near_duplicates(df).filter("kept").collect()
+        least = min((i for i in ids if i is not None), default=None)
+        assert len({(r.doc_id, r.text_key) for r in got}) == 1 and got[0].doc_id == got[0].class_id == least
+        left = corpus_pipeline.near_duplicate(spark, df, "").collect()
+        assert len(left) == 1 and left[0].doc_id == least

@@ -17,7 +17,8 @@ exact Jaccard similarity of the shingle sets, unless both are already joined.
 Rows: every input row gives one row.  A null or empty text, or one of white
 space only, has no shingles, links with nothing and is kept.  Rows with equal
 texts are in one class, also when their ids are equal.  Rows with a null id
-take part, but are kept only where no row of the class has an id.
+take part, but are kept only where no row of the class has an id.  One id and
+text of each class is kept, so near copies that share an id are reduced too.
 """
 
 from __future__ import annotations
@@ -519,7 +520,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, distance: int = 56
     that is taken; which pairs are found doesn't depend on them.
     """
     rows = cut_lineage(sketch(docs, similarity))
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SIG])
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("at"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SIG])
     nodes = cut_lineage(nodes)
     sampled = components(_candidates(nodes, distance, tables, bits, cap, seed))
     exact = _prefix_edges(rows, sampled, similarity)
@@ -531,10 +532,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, distance: int = 56
     text = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), F.col("text").cast("string").alias("text"))
     texts = text.join(family, F.expr("k = text_key and d <=> doc_id"))
     linked = components(_verify(texts, family, distance, similarity, block))
-    of_node = nodes.select("node", "first_id").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    class_of = of_node.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    of_node = of_node.join(class_of, "component").select("node", "class_id")
-    kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull())
+    of_node = nodes.select("node", "at").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    class_of = of_node.groupBy("component").agg(F.min("at").alias("first"))
+    of_node = of_node.join(class_of, "component").select("node", "first")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     out = rows.select("doc_id", "text_key", "node").join(of_node, "node", "left")
     alone = F.col("node").isNull()
-    return out.select("doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | kept).alias("kept"))
+    return out.select("doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), (alone | kept).alias("kept"))
