@@ -187,3 +187,13 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "source mixing":
             assert docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
     assert docs.filter("offset <> 0 or length > 1024").count() == 0
+
+
+def test_identifiers_in_quotes_and_capitals(spark):
+    from tidemark.llm.secrets import KINDS, scan
+
+    late = "Ab" * 60 + "7"  # its first digit comes after 120 signs
+    heads = ['"client_id": "abc"', 'client_id = "abc"', "CLIENT_ID=abc", "USERNAME=bob"]
+    rows = [(k, f"{head} x {late}") for k, head in enumerate(heads)]
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all([KINDS[x.kind] for x in r.spans] == ["client", "value"] for r in got)

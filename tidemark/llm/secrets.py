@@ -31,11 +31,11 @@ PATTERNS = {
     "assign": ASSIGN,
     "access": r"AKIA[A-Z0-9]{14,}",
     "hex": r"(?<![0-9a-f])[0-9a-f]{16,}",
-    "client": r"(?:client_id|client|user|username|login|account)\x20*[:=]\x20*[A-Za-z0-9_.@-]{3,}",
-    "value": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z0-9+/_-]{0,80}[0-9])(?=[A-Za-z0-9+/_-]{0,80}[A-Z])(?=[A-Za-z0-9+/_-]{0,80}[a-z])[A-Za-z0-9+/_-]{20,}",
+    "client": r"""(?i:client_id|client|user|username|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""",
+    "value": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}",
     "endpoint": r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}",
 }
-#: Words of which a text must hold one before its pattern is tried; those of ``assign`` in lower case.
+#: Words of which a text must hold one before its pattern is tried; those of ``assign`` and ``client`` in lower case.
 NEEDED = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("AKIA",), "client": ("client", "user", "login", "account"), "endpoint": ("://",)}
 SPAN = "array<struct<start:long,end:long,kind:int>>"
 
@@ -44,7 +44,7 @@ def _possible(text: Column, low: Column, kind: str) -> Column:
     """A cheap condition that holds wherever the kind's pattern may match."""
     out = F.lit(kind == "hex")
     for word in NEEDED.get(kind, ()):
-        out = out | F.contains(low if kind == "assign" else text, F.lit(word))
+        out = out | F.contains(low if kind in ("assign", "client") else text, F.lit(word))
     if kind == "endpoint":
         out = out | text.rlike(r":[0-9]{2}")
     return text.rlike("[0-9]") if kind == "value" else out
