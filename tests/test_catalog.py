@@ -31,3 +31,14 @@ def test_full_join_is_over_whole_tables(spark):
     for column, table in (("c_custkey", "customer"), ("s_suppkey", "supplier")):
         whole = spark.read.parquet(f"{DIR}/{table}.parquet").select(column).collect()
         assert sorted(r[column] for r in rows if r[column] is not None) == sorted(r[0] for r in whole)
+
+
+def test_history_holds_late_events_and_those_without_instant(spark, tmp_path):
+    rows = [(1, 1, "2024-01-05 00:00:00"), (2, 1, None), (3, 2, None), (4, 3, "2024-01-25 00:00:00"), (5, 3, "2025-06-01 00:00:00")]
+    df = spark.createDataFrame([(e, u, t, "view", 1.0) for e, u, t in rows], "event_id long, user_id long, t string, event_type string, value double")
+    df.selectExpr("event_id", "user_id", "CAST(t AS timestamp_ntz) AS ts", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("r8_scan_current", "r8_scan_as_of"):
+        want = con.sql(f"SELECT key, event_id FROM ({ORACLES[name]})").fetchall()
+        assert canonical(QUERIES[name](spark, str(tmp_path)).select("key", "event_id").collect()) == canonical(want)

@@ -46,12 +46,15 @@ def lakehouse(spark: SparkSession, sf_dir: str) -> str:
             spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
         root = f"{spark.sparkContext.getCheckpointDir()}/lake-{hashlib.md5(repr(made).encode()).hexdigest()}"
         lake, rows = Lakehouse(spark, root), event_rows(spark, sf_dir)
-        base = rows.filter(F.col("event_time") <= F.lit(T0)).withColumn(ROW, -F.unix_millis("event_time"))
+        # rows without an instant come last of their key, so they are in the base
+        base = rows.filter((F.col("event_time") <= F.lit(T0)) | F.col("event_time").isNull()).withColumn(ROW, F.coalesce(-F.unix_millis("event_time"), F.lit(2**63 - 1)))
         write_file(lake, "history", latest_first(merge_ordered([base], None)), SCHEMA, "base.parquet")
+        last = rows.agg(F.unix_millis(F.max("event_time"))).first()[0]
+        last = T2 if last is None else max(T2, datetime.fromtimestamp(last / 1000, UTC))
         deltas = []
-        for k, (a, b) in enumerate(((T0, T1), (T1, T2), (T2, datetime(2024, 2, 1, tzinfo=UTC)))):
-            write_file(lake, "history", latest_first(rows.filter((F.col("event_time") > F.lit(a)) & (F.col("event_time") <= F.lit(b)))), SCHEMA, f"delta{k}.parquet")
-            deltas.append(Delta(f"delta{k}.parquet", a, b))
+        for k, (a, b) in enumerate(((T0, T1), (T1, T2), (T2, None))):
+            write_file(lake, "history", latest_first(rows.filter((F.col("event_time") > F.lit(a)) & (F.lit(True) if b is None else F.col("event_time") <= F.lit(b)))), SCHEMA, f"delta{k}.parquet")
+            deltas.append(Delta(f"delta{k}.parquet", a, b or last))
         publish(lake, "history", Snapshot(SCHEMA, (Segment("1", T0, None, "base.parquet", (), tuple(deltas)),)), "1")
         _made[made] = root
     return _made[made]
