@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -68,8 +69,52 @@ def test_secrets(spark):
     cases = [(k, t) for k, t in enumerate([*alone, " ".join(alone), "client_id=abc " + "g" * 900 + " aB3xY9kLmN0pQrStUvWx", "AKIAABCDEFGHIJKLMN token=abcdefghijkl"])]
     found = {x.doc_id: [p.split(":")[0] for p in x.spans.split(",") if p] for x in secrets.report(frame(spark, cases)).collect()}
     assert found == {0: [], 1: [], 2: [], 3: ["client", "value", "endpoint"], 4: [], 5: ["access", "assign"]}
-    shown = secrets.scan(frame(spark, cases)).join(frame(spark, cases).select("doc_id", "text"), "doc_id")
-    assert {x[0]: x[1] for x in shown.select("doc_id", secrets.redacted(shown.text, shown.spans)).collect()}[5] == "[SECRET] [SECRET]"
+    shown = secrets.redact(frame(spark, cases))
+    assert shown.columns == frame(spark, cases).columns and {x.doc_id: x.text for x in shown.collect()}[5] == "[SECRET] [SECRET]"
+    assert secrets.report(frame(spark, ODD).limit(0)).count() == secrets.redact(frame(spark, ODD).limit(0)).count() == 0
+
+
+def all_spans(t):
+    """Base spans, and weak ones whose scope meets those of their complements: every pair is looked at."""
+    parts = [*spans_of(t), *[(m.start(), k, m.end()) for k in (3, 4, 5) for m in re.finditer(secrets.PATTERNS[secrets.KINDS[k]], t)]]
+
+    def meets(x, kinds):
+        return any(y[1] in kinds and max(x[0], y[0]) - min(x[2], y[2]) <= 2 * secrets.SCOPE for y in parts)
+
+    needs = {3: [(0, 2, 4)], 4: [(1, 3)], 5: [(1, 3), (0, 2, 4)]}
+    return sorted(x for x in parts if x[1] < 3 or all(meets(x, kinds) for kinds in needs[x[1]]))
+
+
+def redacted(t):
+    out, at = [], 0
+    for a, _, b in all_spans(t):
+        if a >= at:
+            out += [t[at:a], "[SECRET]"]
+        at = max(at, b)
+    return "".join(out) + t[at:]
+
+
+def test_linked_secrets_against_all_pairs(spark):
+    r = random.Random(8)
+    signs = ["client_id=abc", "USER: bob", "aB3xY9kLmN0pQrStUvWx", "https://h.example/", "host.example:8080", "..a.b:443", "a.b.", "token=abcdefghijkl", "AKIAABCDEFGHIJKLMN", "abcdef0123456789", "é日😀", " ", "\n", "g" * 150, "g " * 190, "-" * 399, "-" * 3000]
+    texts = [(k, "".join(r.choice(signs) + r.choice(["", " ", ","]) for _ in range(r.randint(0, 40)))) for k in range(300)] + [(k + 300, t) for k, t in enumerate(["", None, None, "token=abcdefghijkl", "token=abcdefghijkl"])]
+    got = {x.doc_id: x.spans for x in secrets.report(frame(spark, texts)).collect()}
+    assert got == {k: ",".join(f"{secrets.KINDS[n]}:{a}:{b}" for a, n, b in all_spans(t or "")) for k, t in texts}
+    assert sum("client" in x for x in got.values()) > 50 and sum("endpoint" in x for x in got.values()) > 50
+    assert {x.doc_id: x.text for x in secrets.redact(frame(spark, texts)).collect()} == {k: t if t is None else redacted(t) for k, t in texts}
+
+
+def test_secrets_in_very_long_texts(spark):
+    """Texts that would overflow the stack, or take the square of their length, of a careless pattern or fold."""
+    one = "client_id=abc x AKIAABCDEFGHIJKLMN0 "
+    texts = [(1, "host:80 " + "a." * 100_000 + "b end"), (2, "token=abcdefghijkl " * 20_000), (3, one * 10_000), (4, "-" * 200_000 + " " + "a.b" * 70_000), (5, "aB" * 100_000 + "é" * 100_000)]
+    began = time.time()
+    got = {x.doc_id: x for x in secrets.report(frame(spark, texts)).collect()}
+    clean = {x.doc_id: x.text for x in secrets.redact(frame(spark, texts)).collect()}
+    assert time.time() - began < 400
+    assert got[2].n_assign == 20_000 and got[2].base_sha256 == digest(spans_of(texts[1][1])) and clean[2] == "[SECRET] " * 20_000
+    assert got[3].n_access == 10_000 and got[3].spans.count("client") == 0 and clean[3] == "client_id=abc x [SECRET] " * 10_000
+    assert got[1].spans == got[4].spans == got[5].spans == "" and all(clean[k] == t for k, t in texts if k in (1, 4, 5))
 
 
 def test_url_filter(spark):
