@@ -16,7 +16,7 @@ from tidemark.llm.mixing import mixed
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import keep_good, train_quality
 from tidemark.llm.runtime import prepare, table
-from tidemark.llm.secrets import redacted, scan
+from tidemark.llm.secrets import redact
 from tidemark.llm.simhash import near_duplicates
 
 
@@ -43,12 +43,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets and linked parts of credentials are replaced by a mark; every document stays."""
-    found = scan(docs).filter(F.size("spans") > 0).select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
-    same = F.expr("pipe_key = text_key and pipe_id <=> f.doc_id")
-    rows = _keyed(docs).join(found.alias("f"), same, "left")
-    text = F.when(F.col("f.spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("f.spans")))
-    columns = [F.col(c) if c not in ("text", "doc_id", "n_chars") else text.alias("text") if c == "text" else F.col("pipe_id").alias(c) if c == "doc_id" else F.coalesce(F.length(text).cast("long"), F.col(c).cast("long")).alias(c) for c in docs.columns]
-    return rows.select(*columns)
+    size = F.length("text").cast("long")
+    return redact(docs).withColumn("n_chars", F.coalesce(size, F.col("n_chars").cast("long")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
