@@ -1,10 +1,13 @@
 import hashlib
+import math
 import random
 import re
 import time
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import lines, mixing, registry, secrets, urls
 from tidemark.llm.quality import classify_quality
@@ -131,6 +134,83 @@ def test_url_filter(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def lexical_features(url):
+    """The features of a URL and its suffix and ending, plainly computed."""
+    url = url or ""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    n = len(url)
+    entropy = -sum(k / n * math.log2(k / n) for k in Counter(url).values())
+    query = re.search(r"\?([^#]*)", url)
+    ending = re.search(r"\.([A-Za-z0-9]+)\Z", path)
+    m = query[1].count("&") + 1 if query and query[1] else 0
+    return (n, len(host), path.count("/"), 1000 * sum(c in "0123456789" for c in url) // max(n, 1), round(entropy * 1000), m, host.count("-"), host.count(".") + 1), host.rsplit(".", 1)[-1], ending[1] if ending else ""
+
+
+def test_url_features_and_scores_against_plain_ones(spark):
+    """The whole URL counts, of any length, and every suffix and ending of the sample."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefgh-0123456789") for _ in range(r.randint(1, n)))
+    made = []
+    for k in range(500):
+        host = r.choice(["", "www.", "a-b."]) + word(8) + "." + r.choice(["org", "net", "com", "example.org", word(30)])
+        made.append(f"https://{host}/{r.choice(['en', 'fr', 'de', 'es'])}/{word(9)}{r.choice(['', '.html', '.' + word(20)])}{r.choice(['', '?', '?a=1', '?a=1&b=2#x'])}")
+    made += ["http://tail.net/" + "a" * 5000 + c for c in ("a" * 3000, "".join(map(chr, range(0x4E00, 0x4E00 + 3000))))] + [None, "", "x", made[0], "a://b.c?x=1?y&z"]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    host, path = urls.parts(F.col("url"))
+    own = [*urls.FEATURES[:-2], "suffix", "ending"]
+    rows = urls.lexical(pages.select("page_id", "url", host.alias("host"), path.alias("path"))).select("page_id", *own).collect()
+    hashes = dict(spark.createDataFrame([(x,) for u in made for x in lexical_features(u)[1:]], "x string").select("x", F.xxhash64("x")).distinct().collect())
+    for x in rows:
+        numbers, suffix, ending = lexical_features(made[x.page_id])
+        assert (*x[1:9], x.suffix, x.ending) == (*numbers, hashes[suffix], hashes[ending]), made[x.page_id][:80]
+    by = {x.page_id: x for x in rows}
+    assert by[500].entropy != by[501].entropy  # they differ only beyond 5,000 signs
+    got = urls.judge_urls(pages)
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = con.sql(URL_SQL).fetchall()
+    assert sorted(map(tuple, got.select("page_id", "host", "path", "rule").collect())) == sorted(want)
+    # the trees and rates, walked plainly
+    name, given = urls.decide(urls.RULES, F.col("host"), F.col("path"))
+    marked = urls.lexical(pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumns({"rule": name, "given": given})).withColumn("label", (F.col("given") == "allow").cast("int"))
+    model = urls.train(marked)
+    assert model.trees and len(model.rates[1]) > 50  # no longer the 50 commonest only
+    for x in got.collect():
+        numbers, suffix, ending = lexical_features(made[x.page_id])
+        z = [*numbers, *[model.rates[k].get(hashes[h], model.rates[2]) for k, h in enumerate((suffix, ending))]]
+        total = model.base
+        for node in model.trees:
+            while isinstance(node, tuple):
+                node = node[2] if z[node[0]] < node[1] else node[3]
+            total += node
+        assert x.score == pytest.approx(total, abs=2e-6)
+        fits = [q for q in urls.RULES if (x.host == q[1] or x.host.endswith("." + q[1])) and x.path.startswith(q[2])]
+        assert x.verdict == (max(fits, key=lambda q: len(q[1] + q[2]))[0] if fits else "allow" if x.score >= 0 else "block")
+
+
+URL_SQL = r"""
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS x FROM pages),
+h AS (SELECT page_id, x, regexp_extract(x, '^[^/?#]*') AS raw FROM r),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(x, length(raw) + 1), '^[^?#]*') AS path FROM h),
+rules(host, path) AS (VALUES ('org', '/'), ('example.org', '/es/'), ('example.org', '/en/1'), ('com', '/fr/'), ('com', '/de/'))
+SELECT page_id, host, path, (SELECT arg_max(q.host || q.path, length(q.host || q.path)) FROM rules q WHERE (p.host = q.host OR p.host LIKE '%.' || q.host) AND starts_with(p.path, q.path)) AS rule FROM p
+"""
+
+
+def test_samples_by_hash(spark):
+    """What is sorted for a sample doesn't grow with the rows, and the sample is that of the smallest hashes."""
+    from tidemark.llm.training import smallest_hashes
+
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("h"), "id").unionByName(spark.range(50_000).select(F.xxhash64(F.lit(7).cast("long")).alias("h"), F.lit(7).cast("long").alias("id")))
+    cut = smallest_hashes(rows, "h", 1000)
+    assert 1000 <= cut.select("h").distinct().count() < 4000
+    least = [x.h for x in rows.select("h").distinct().orderBy("h").limit(1000).collect()]
+    assert [x.h for x in cut.select("h").distinct().orderBy("h").limit(1000).collect()] == least
+    assert smallest_hashes(rows.limit(0), "h", 10).count() == 0 and smallest_hashes(rows.limit(5), "h", 10).count() == 5
+
+
 def test_boosted_trees_learn():
     r = random.Random(0)
     x = [[r.randint(0, 100) for _ in urls.FEATURES] for _ in range(600)]

@@ -3,14 +3,17 @@
 Rules name a host (with all its subdomains) and a path prefix; of those that
 fit, the longest wins (host and path together, then by its text).  URLs that a
 rule fits are the labelled ones; gradient-boosted regression trees (logistic
-loss) on lexical features learn from at most ``SAMPLE`` of them, and judge the
-URLs that no rule fits.  Features and scores are DataFrame expressions: the
-trees become nested CASE expressions.  Only the sample's small integer features
-come to the driver.
-
-A null URL, or one without ``://``, has an empty host and path; it is scored
-like any other.  Where all labels agree, or there are none, the verdict is that
-label, or allow.  Every row gives one row.
+loss) on lexical features learn from at most ``SAMPLE`` distinct ones of them,
+those of the smallest hashes, and judge the URLs that no rule fits.  Features
+and scores are DataFrame expressions: the trees become nested CASE expressions,
+and the shares of allowed URLs for each suffix and ending of the sample are
+joined by hash.  Only hashes and integer features of the sample come to the
+driver, cut there by a hash limit first, so that it doesn't grow with the data.
+
+Features are those of the whole URL, however long.  A null URL, or one without
+``://``, has an empty host and path; it is scored like any other.  Where all
+labels agree, or there are none, the verdict is that label, or allow.  Every
+row gives one row, repeated rows too; a null page_id stays null.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.training import smallest_hashes
+
 SAMPLE = 20_000
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,13 +65,11 @@ def decide(rules: Sequence[tuple[str, str, str]], host: Column, path: Column) ->
 
 
 def lexical(rows: DataFrame) -> DataFrame:
-    """``rows`` (url, host, path) with the lexical features, scaled to integers, and suffix and ending."""
+    """``rows`` (url, host, path) with the lexical features, scaled to integers, and hashes of suffix and ending."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    head = F.substring(url, 1, 2048)  # the entropy of longer URLs is that of their beginning
-    signs = F.array_sort(F.split(head, ""))
     # lengths of the runs of equal signs in the sorted text
-    runs = F.regexp_extract_all(F.array_join(signs, ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
-    size = F.greatest(F.length(head), F.lit(1)).cast("double")
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(url, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
+    size = F.greatest(F.length(url), F.lit(1)).cast("double")
     bits = F.aggregate(runs, F.lit(0.0), lambda h, r: h - F.length(r) / size * F.log2(F.length(r) / size))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     digits = F.length(url) - F.length(F.translate(url, "0123456789", ""))
@@ -80,23 +83,28 @@ def lexical(rows: DataFrame) -> DataFrame:
             "parameters": F.when(query == "", 0).otherwise(1 + F.length(query) - F.length(F.replace(query, F.lit("&"), F.lit("")))),
             "hyphens": F.length("host") - F.length(F.replace("host", F.lit("-"), F.lit(""))),
             "labels": F.size(F.split("host", r"\.")),
-            "suffix": F.substring(F.substring_index("host", ".", -1), 1, 16),
-            "ending": F.substring(F.regexp_extract("path", r"\.([A-Za-z0-9]{1,8})$", 1), 1, 8),
+            "suffix": F.xxhash64(F.substring_index("host", ".", -1)),
+            "ending": F.xxhash64(F.regexp_extract("path", r"\.([A-Za-z0-9]++)\z", 1)),
         }
     )
 
 
 class Trees:
-    """Trees of (feature number, threshold, left, right) or a leaf's value; left where the feature is smaller."""
+    """Trees of (feature number, threshold, left, right) or a leaf's value; left where the feature is smaller.
+
+    ``rates``: for suffix and for ending, the share of each hash in the sample,
+    of at most its size, and the share of all others.
+    """
 
-    def __init__(self, base: float, trees: list, rates: tuple[dict[str, int], dict[str, int], int]) -> None:
+    def __init__(self, base: float, trees: list, rates: tuple[dict[int, int], dict[int, int], int]) -> None:
         self.base, self.trees, self.rates = base, trees, rates
 
-    def rate(self, which: int, value: Column) -> Column:
-        out = F.lit(self.rates[2])
-        for name, share in sorted(self.rates[which].items()):
-            out = F.when(value == name, F.lit(share)).otherwise(out)
-        return out
+    def with_rates(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with suffix_rate and ending_rate; at most a row for each of the sample is broadcast."""
+        for name, shares in zip(("suffix", "ending"), self.rates[:2], strict=True):
+            listed = rows.sparkSession.createDataFrame(sorted(shares.items()), f"{name} long, {name}_rate int")
+            rows = rows.join(F.broadcast(listed), name, "left") if shares else rows.withColumn(f"{name}_rate", F.lit(None).cast("int"))
+        return rows.withColumns({c: F.coalesce(c, F.lit(self.rates[2])) for c in ("suffix_rate", "ending_rate")})
 
     def score(self) -> Column:
         def of(node: tuple | float) -> Column:
@@ -156,22 +164,23 @@ def boost(x: list[list[int]], y: list[int], trees: int = 12, depth: int = 3, rat
 
 def train(rows: DataFrame, size: int = SAMPLE) -> Trees:
     """``rows`` of :func:`lexical` with ``label`` (1: allow), null where no rule fits."""
-    own = ["suffix", "ending", *FEATURES[:-2]]
-    sample = rows.filter("label is not null").select(F.xxhash64("url").alias("h"), "label", *own).orderBy("h", "label", *own).limit(size).collect()  # at most ``size`` rows of numbers
+    own = ["label", "suffix", "ending", *FEATURES[:-2]]
+    known = rows.filter("label is not null").select(F.xxhash64("url").alias("h"), *own)
+    # what is sorted on the driver's behalf are some ``size`` distinct URLs, whatever the data
+    known = smallest_hashes(known, "h", size).groupBy("h").agg(*[F.min(c).alias(c) for c in own])
+    sample = known.orderBy("h").limit(size).collect()  # at most ``size`` rows of numbers
     if not sample or len({r.label for r in sample}) == 1:
         return Trees(-1.0 if sample and not sample[0].label else 1.0, [], ({}, {}, 500))
     whole = sum(r.label for r in sample) / len(sample)
-    rates: list[dict[str, int]] = []
+    rates: list[dict[int, int]] = []
     for column in ("suffix", "ending"):
-        found: dict[str, list[int]] = {}
+        found: dict[int, list[int]] = {}
         for r in sample:
-            found.setdefault(r[column] or "", []).append(r.label)
-        often = sorted(found, key=lambda k: (-len(found[k]), k))[:50]
-        rates.append({k: round(1000 * (sum(found[k]) + 10 * whole) / (len(found[k]) + 10)) for k in often})
-    other = round(1000 * whole)
-    x = [[*[int(r[f]) for f in FEATURES[:-2]], rates[0].get(r.suffix or "", other), rates[1].get(r.ending or "", other)] for r in sample]
+            found.setdefault(r[column], []).append(r.label)
+        rates.append({k: round(1000 * (sum(v) + 10 * whole) / (len(v) + 10)) for k, v in found.items()})
+    x = [[*[int(r[f]) for f in FEATURES[:-2]], rates[0][r.suffix], rates[1][r.ending]] for r in sample]
     base, trees = boost(x, [int(r.label) for r in sample])
-    return Trees(base, trees, (rates[0], rates[1], other))
+    return Trees(base, trees, (rates[0], rates[1], round(1000 * whole)))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, size: int = SAMPLE) -> DataFrame:
@@ -181,7 +190,6 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     name, verdict = decide(rules, F.col("host"), F.col("path"))
     rows = lexical(rows.withColumns({"rule": name, "given": verdict})).withColumn("label", (F.col("given") == "allow").cast("int"))
     model = train(rows, size)
-    rows = rows.withColumns({"suffix_rate": model.rate(0, F.col("suffix")), "ending_rate": model.rate(1, F.col("ending"))})
-    rows = rows.withColumn("score", F.round(model.score(), 6))
+    rows = model.with_rates(rows).withColumn("score", F.round(model.score(), 6))
     own = F.when(F.col("score") >= 0, "allow").otherwise("block")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("given", own).alias("verdict"), "score")
