@@ -34,6 +34,53 @@ def test_prefix_counts_at_every_prefix(library):
         assert got == [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)], t
 
 
+def test_tokens_side_by_side(library):
+    """``may_follow`` against the library, for pairs of random tokens and of repeated signs."""
+    enc, r = bpe.encoder(bpe.default_path()), random.Random(5)
+    words = ["a" * k for k in range(1, 9)] + ["th", "the", "in", "ing", "er", "ers", "re", "ab", "ra", "aba", "erer", "inging"]
+    tokens = sorted({i for w in words for i in library.encode(w, add_special_tokens=False).ids} | {r.randrange(50_000) for _ in range(400)})
+    text = {i: library.decode([i]) for i in tokens}
+    tokens = [i for i in tokens if text[i].isalpha() and text[i].isascii()]
+    pairs = [(a, b) for a in tokens[:60] for b in tokens[:60]] + [(r.choice(tokens), r.choice(tokens)) for _ in range(4000)]
+    want = [library.encode(text[a] + text[b], add_special_tokens=False).ids == [a, b] for a, b in pairs]
+    assert [enc.may_follow(a, b) for a, b in pairs] == want and 100 < sum(want) < len(pairs) - 100
+
+
+def test_dp_totals_and_ids_over_whole_tables(library):
+    """The dynamic programme's totals, and ids, equal the library's for whole texts of all tables' documents."""
+    import pyarrow.parquet as pq
+
+    from tidemark.llm.textvec import chunks
+
+    enc = bpe.encoder(bpe.default_path())
+    column = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text")
+    for a, b, data, offsets in chunks(column, 1 << 20):
+        want = [e.ids for e in library.encode_batch([t.as_py() or "" for t in column.slice(a, b - a)], add_special_tokens=False)]
+        starts, _, number = enc.cut(data, offsets)
+        total = np.concatenate([[0], np.cumsum(enc.counts(number))])
+        assert np.diff(total[np.searchsorted(starts, offsets)]).tolist() == list(map(len, want))
+        ids, first = enc.encode_batch(data, offsets)
+        assert ids.tolist() == [i for w in want for i in w] and np.diff(first).tolist() == list(map(len, want))
+
+
+def test_memory_of_pieces_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe, "PAIRS", 3)
+    enc = bpe.PieceEncoder(bpe.default_path())
+    for t in texts(60, seed=9):
+        data = np.frombuffer(t.encode(), np.uint8)
+        _, _, number = enc.cut(data, np.array([0, len(data)]))
+        assert int(enc.counts(number).sum()) == len(library.encode(t, add_special_tokens=False).ids)
+        assert enc.encode_batch(data, np.array([0, len(data)]))[0].tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(enc.counted.hashes) <= 5 + 15 and len(enc.beside) <= 3
+
+
+def test_long_unbroken_pieces(library):
+    r = random.Random(3)
+    for t in ("".join(r.choice("abcdefghijklmnop") for _ in range(100_000)), "a" * 30_000, "日" * 20_000, "=-" * 30_000):
+        assert len(PrefixCounts(t)) == len(library.encode(t, add_special_tokens=False).ids)
+
+
 def test_counts_match_library(spark, library):
     rows, df = odd(spark)
     limit = 20

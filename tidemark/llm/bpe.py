@@ -3,12 +3,20 @@
 A text is cut into pieces as the vocabulary's pattern does (runs of letters,
 numbers, other signs and white space, a leading blank kept with what follows,
 English clitics apart).  BPE never merges across pieces, so each distinct piece
-of a batch is encoded once and the rest is array indexing.
-
-Within a piece, prefix dynamic programming gives the exact count at every
-prefix: the last token of the prefix of length i is the one token t ending at i
-that may follow the last token of the prefix of length i - len(t), and
-count[i] = count[i - len(t)] + 1.
+of a batch is looked at once and the rest is array indexing.
+
+Counts come from prefix dynamic programming within the piece: the last token of
+the prefix of length i is the one token t ending at i that may follow the last
+token of the prefix of length i - len(t), and count[i] = count[i - len(t)] + 1.
+The tokens that end at each byte are found by one pass of an automaton over all
+new pieces, so the time is linear in their bytes.  Ids come from the tokenizers
+library, piece by piece.
+
+Two tokens may stand side by side if no merge across their border is ever the
+next one.  While BPE builds them, the token at the border on each side passes
+through a chain of growing tokens, and merges are made in the order of their
+ids; so a merge of two such tokens is made if its id is below those of the
+merges that would take either of them away.
 """
 
 from __future__ import annotations
@@ -16,14 +24,18 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import os
+from array import array
 
 import numpy as np
 
 from tidemark.llm.textvec import factorize, span_hashes
 
 LETTER, NUMBER, OTHER, BLANK = 1, 2, 3, 4
-#: Distinct pieces remembered between batches; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Distinct pieces, and ids of all of them, that are remembered between batches; beyond it the memory starts anew.
+REMEMBERED, REMEMBERED_IDS = 1_000_000, 8_000_000
+#: Pairs of tokens of which it is remembered whether they may stand side by side.
+PAIRS = 400_000
 
 
 def default_path() -> str:
@@ -106,16 +118,48 @@ def pieces(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+class _Memory:
+    """Numbers of the pieces met so far, by hash, and what was learned of each."""
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)  # sorted
+        self.number = np.zeros(0, np.int64)  # of the piece with this hash
+        self.size = np.zeros(0, np.int64)
+        self.begin = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 for a new one."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.number[at], -1)
+
+    def add(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        number = np.concatenate([self.number, len(self.size) + np.arange(len(size))])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.number = hashes[order], number[order]
+
+    @property
+    def full(self) -> bool:
+        return len(self.hashes) > REMEMBERED or len(self.ids) > REMEMBERED_IDS
+
+
 class PieceEncoder:
-    """Encodes texts as the tokenizer file does, without adding special tokens.
+    """Counts and encodes texts as the tokenizer file does, without adding special tokens.
 
     Special strings inside a text become their one token, which is the
     library's default.  Made once per Python worker by :func:`encoder`.
     """
 
     def __init__(self, path: str) -> None:
-        import tiktoken
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
+        import ahocorasick
 
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec.get("pre_tokenizer") or {}
         model = spec["model"]
@@ -126,44 +170,96 @@ class PieceEncoder:
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"] if t["special"]}
         raw = {bytes(signs[c] for c in token): i for token, i in model["vocab"].items() if token.encode() not in self.special}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        joined = [bytes(signs[c] for c in a + b) for a, b in merges]
-        ids = [raw[j] for j in joined]
-        if ids != sorted(ids) or len(set(ids)) != len(ids):
+        parts = [tuple(raw[bytes(signs[c] for c in side)] for side in m) for m in merges]
+        ids = [raw[bytes(signs[c] for c in a + b)] for a, b in merges]
+        if ids != sorted(ids) or len(set(ids)) != len(ids) or any(max(x) >= i for x, i in zip(parts, ids, strict=True)):
             raise ValueError("merges must be in the order of their ids")
-        self.bytes_of = raw
-        self.bpe = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=raw, special_tokens={})
         self.longest = max(map(len, raw))
-        cut = {i: (raw[bytes(signs[c] for c in a)], raw[bytes(signs[c] for c in b)]) for (a, b), i in zip(merges, ids, strict=True)}
-        self.split = cut
-        self.joins = {pair: i for i, pair in cut.items()}
-        self.forget()
+        self.merged = dict(zip(parts, ids, strict=True))
+        self.parts = dict(zip(ids, parts, strict=True))
+        self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.beside: dict[int, bool] = {}  # by first << 32 | second
+        self.automaton = ahocorasick.Automaton()
+        for token, i in raw.items():
+            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+        self.automaton.make_automaton()
+        self.counted, self.encoded = _Memory(), _Memory()
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens that stand at the token's right (1) or left (0) end while it is built, each with its successor."""
+        if (token, side) not in self.edges:
+            out, after = [(token, 1 << 62)], token
+            while after in self.parts:
+                before = self.parts[after][side]
+                out.append((before, after))
+                after = before
+            self.edges[token, side] = out
+        return self.edges[token, side]
 
-    def forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # sorted
-        self.number = np.zeros(0, np.int64)  # of the piece with this hash
-        self.size = np.zeros(0, np.int64)
-        self.begin = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of the pieces with these hashes, -1 for a new one."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.number[at], -1)
-
-    def _learn(self, hashes: np.ndarray, texts: list[bytes]) -> None:
-        found = list(map(self.bpe._core_bpe.encode_single_piece, texts))
+    def may_follow(self, first: int, second: int) -> bool:
+        """Whether BPE of the joined bytes of two tokens gives just these tokens."""
+        if len(self.beside) >= PAIRS:
+            self.beside.clear()
+        merged, right, left = self.merged, self._edge(first, 1), self._edge(second, 0)
+        out = True
+        for a, x in right:
+            for b, y in left:
+                m = merged.get((a, b))
+                # of two equal merges the left one is made first
+                if m is not None and m < x and m <= y:
+                    out = False
+                    break
+            if not out:
+                break
+        self.beside[first << 32 | second] = out
+        return out
+
+    def prefix_counts(self, joined: bytes, begin: list[int] | None = None) -> array:
+        """Exact token counts of joined[:0], joined[:1], ..., joined, a piece; ``begin``: of several
+        pieces, each followed by a byte more, whose counts start anew there."""
+        text = joined.decode("latin-1")
+        last = array("i", bytes(4 * (len(text) + 2)))  # token + 2, 1 where a piece begins, 0 where not known
+        count = array("i", bytes(4 * (len(text) + 2)))
+        last[0] = 1
+        if begin is not None:
+            marked = list(text)
+            for k in begin:
+                last[k] = 1
+                if k:
+                    marked[k - 1] = "\u0100"  # no token holds it
+            text = "".join(marked)
+        known, may_follow = self.beside.get, self.may_follow
+        for end, (token, size) in self.automaton.iter(text):
+            at = end + 1
+            # where a piece ends, the place after the next byte begins anew; its own place is still free
+            if not last[at]:
+                before = last[at - size]
+                if before > 1:
+                    fits = known(before - 2 << 32 | token)
+                    if fits is None:
+                        fits = may_follow(before - 2, token)
+                    if not fits:
+                        continue
+                elif not before:
+                    continue
+                last[at] = token + 2
+                count[at] = count[at - size] + 1
+        return count[: len(joined) + 1]
+
+    def piece_totals(self, texts: list[bytes]) -> np.ndarray:
+        """Tokens of each piece: its count at the last prefix."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(size + 1)
+        counts = np.frombuffer(self.prefix_counts(b"\0".join(texts), (ends - size - 1).tolist()), np.int32)
+        return counts[ends - 1].astype(np.int64)
+
+    def _ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of each piece, and all ids, from the library."""
+        found = [e.ids for e in _library(self.path).encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
-        number = np.concatenate([self.number, len(self.size) + np.arange(len(found))])
-        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
-        hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.number = hashes[order], number[order]
+        return size, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))
 
-    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def cut(self, data: np.ndarray, offsets: np.ndarray, with_ids: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Piece starts, piece ends and the number in the memory of each piece, -1 - id for special strings."""
         edges, special = offsets, {}
         whole = data.tobytes()
@@ -187,70 +283,51 @@ class PieceEncoder:
         ends = np.append(starts[1:], len(data))[: len(starts)]
         hashes = span_hashes(data, starts, ends)
         codes, where = factorize(hashes)
-        if len(self.hashes) > REMEMBERED:
-            self.forget()
+        if (memory := self.encoded if with_ids else self.counted).full:
+            memory.__init__()
         keys = hashes[where]
-        got = self._find(keys)
+        got = memory.find(keys)
         new = np.flatnonzero(got < 0)
         if len(new):
             s, e = starts[where[new]].tolist(), ends[where[new]].tolist()
-            self._learn(keys[new], [whole[i:j] for i, j in zip(s, e, strict=True)])
-            got = self._find(keys)
+            texts = [whole[i:j] for i, j in zip(s, e, strict=True)]
+            size, ids = self._ids(texts) if with_ids else (self.piece_totals(texts), np.zeros(0, np.uint32))
+            memory.add(keys[new], size, ids)
+            got = memory.find(keys)
         number = got[codes]
         for at, (token, _) in special.items():
             number[np.searchsorted(starts, at)] = -1 - token
         return starts, ends, number
 
-    def counts(self, number: np.ndarray) -> np.ndarray:
-        return np.where(number < 0, 1, self.size[np.maximum(number, 0)])
+    def counts(self, number: np.ndarray, memory: _Memory | None = None) -> np.ndarray:
+        size = (memory or self.counted).size
+        return np.where(number < 0, 1, size[np.maximum(number, 0)]) if len(size) else np.ones(len(number), np.int64)
 
     def encode_batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's ids begin."""
-        starts, _, number = self.cut(data, offsets)
-        size = self.counts(number)
+        starts, _, number = self.cut(data, offsets, with_ids=True)
+        memory = self.encoded
+        size = self.counts(number, memory)
         ends = np.cumsum(size)
-        begin = np.where(number < 0, 0, self.begin[np.maximum(number, 0)])
-        out = self.ids[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        begin = np.where(number < 0, 0, memory.begin[np.maximum(number, 0)]) if len(memory.begin) else np.zeros(len(number), np.int64)
+        at = np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        out = memory.ids[at] if len(memory.ids) else np.zeros(len(at), np.uint32)
         for k in np.flatnonzero(number < 0).tolist():
             out[ends[k] - 1] = -1 - number[k]
         return out, np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
 
-    def may_follow(self, first: int, second: int) -> bool:
-        """Whether BPE of the joined bytes of two tokens gives just these tokens."""
-        limit = 1 << 32
-        while True:
-            joined = self.joins.get((first, second))
-            if joined is not None and joined < limit:
-                return False
-            if first > second:
-                limit = first
-                first = self.split.get(first, (first, first))[1]
-                if first == limit:
-                    limit = second + 1
-                    second = self.split.get(second, (second, second))[0]
-                    if second + 1 == limit:
-                        return True
-            else:
-                limit = second + 1
-                second = self.split.get(second, (second, second))[0]
-                if second + 1 == limit:
-                    limit = first
-                    first = self.split.get(first, (first, first))[1]
-                    if first == limit:
-                        return True
-
-    @functools.lru_cache(maxsize=20_000)  # noqa: B019 - the encoder lives as long as the worker
-    def prefix_counts(self, piece: bytes) -> tuple[int, ...]:
-        """Exact token counts of piece[:0], piece[:1], ..., piece."""
-        count, last = [0], [-1]
-        for i in range(1, len(piece) + 1):
-            for length in range(min(i, self.longest), 0, -1):
-                token = self.bytes_of.get(piece[i - length : i])
-                if token is not None and (i == length or self.may_follow(last[i - length], token)):
-                    count.append(count[i - length] + 1)
-                    last.append(token)
-                    break
-        return tuple(count)
+    def total(self, text: bytes) -> int:
+        """Tokens of a text without special strings."""
+        data = np.frombuffer(text, np.uint8)
+        starts = pieces(data, np.array([0, len(data)])).tolist()
+        return int(self.piece_totals([text[a:b] for a, b in itertools.pairwise([*starts, len(data)])]).sum()) if text else 0
+
+
+@functools.cache
+def _library(path: str):  # noqa: ANN202 - the library is loaded in the worker
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 @functools.cache

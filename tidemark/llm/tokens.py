@@ -2,8 +2,9 @@
 
 ``PrefixCounts`` holds the exact token count at every character prefix of one
 text, so truncation and budget questions need no second encoding.  Over a
-DataFrame, :func:`count_tokens` keeps the running count at the piece ends and
-opens the one piece where the limit falls.
+DataFrame, :func:`count_tokens` takes each distinct piece's count at its last
+prefix, keeps the running count at the piece ends, and opens the one piece
+where the limit falls.
 
 Nulls and empty texts count 0 tokens.  Rows are kept one for one, repeated and
 null ids included; further columns of the input aren't returned.
@@ -41,14 +42,15 @@ def _at_bytes(enc: bpe.PieceEncoder, raw: bytes, starts: list[int], ends: list[i
     base = starts[0]
     out = np.full(ends[-1] - base + 1, total, np.int64)
     run = (b"", 0)  # the blank piece right before, and the tokens before it
+    plain = (base, total)  # where the piece right before begins, and the tokens before it
     for s, e, k in zip(starts, ends, number, strict=True):
         piece = raw[s:e]
         here = out[s - base : e - base + 1]
         if k < 0:
             for j in range(1, e - s):
-                here[j] = len(enc.encode_batch(np.frombuffer(raw[: s + j], np.uint8), np.array([0, s + j]))[0])
+                here[j] = plain[1] + enc.total(raw[plain[0] : s + j])
             total += 1
-            here[-1], run = total, (b"", 0)
+            here[-1], run, plain = total, (b"", 0), (e, total)
             continue
         inner = enc.prefix_counts(piece)
         here[1:] = [total + c for c in inner[1:]]
@@ -59,6 +61,7 @@ def _at_bytes(enc: bpe.PieceEncoder, raw: bytes, starts: list[int], ends: list[i
             head = piece if blank else b" "
             here[len(head)] = run[1] + enc.prefix_counts(run[0] + head)[-1]
         run = (piece, total) if blank else (b"", 0)
+        plain = (s, total)
         total += inner[-1]
     return out
 
