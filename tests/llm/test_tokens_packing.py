@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe
-from tidemark.llm.packing import pack
+from tidemark.llm.packing import draw_batches, pack
 from tidemark.llm.tokens import PrefixCounts, count_tokens
 
 SCHEMA = "doc_id long, text string, n_tokens string"
@@ -115,3 +115,19 @@ def test_pack_round_trip(spark, library):
         flat += mine
     assert at == len(got)
     assert pack(df.limit(0)).count() == 0
+
+
+def test_batches_are_drawn_bucket_by_bucket(spark):
+    _, df = odd(spark)
+    packed = pack(df, longest=64, with_ids=True)
+    rows = {r.sequence_id: r for r in packed.collect()}
+    for tokens in (256, 1):
+        got = draw_batches(packed, tokens).collect()
+        assert len({b.batch_id for b in got}) == len(got)
+        assert sorted(i for b in got for i in b.sequence_ids) == sorted(rows)
+        for b in got:
+            assert {rows[i].bucket for i in b.sequence_ids} == {b.bucket} and b.n_sequences == len(b.sequence_ids)
+            assert len(b.ids) == b.n_sequences << b.bucket and (len(b.ids) <= tokens or b.n_sequences == 1)
+            assert b.ids == [t for i in b.sequence_ids for t in rows[i].ids]
+    assert sum(b.n_sequences << b.bucket == 256 for b in draw_batches(packed, 256).collect()) > 100
+    assert draw_batches(pack(df.limit(0))).count() == 0 and "ids" not in draw_batches(pack(df)).columns

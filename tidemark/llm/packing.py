@@ -2,9 +2,10 @@
 
 A document's ids (then an end id) are cut into pieces whose lengths are powers
 of two: whole pieces of the largest size first, then one piece for each bit of
-the rest.  Each piece is a sequence of its own, pieces of equal length share a
-bucket, and batches are drawn bucket by bucket.  So no sequence crosses
-documents and nothing is padded.
+the rest.  Each piece is a sequence of its own and pieces of equal length share
+a bucket.  :func:`draw_batches` gathers the sequences of a bucket into batches
+of about equal numbers of tokens.  So no sequence crosses documents and nothing
+is padded.
 
 Tokenizing and cutting are one pass without a shuffle.  A sequence's number is
 its partition's number and its place there, so a task that runs again gives
@@ -81,3 +82,53 @@ def pack(docs: DataFrame, longest: int = 1024, end_id: int = 0, path: str | None
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def draw_batches(packed: DataFrame, batch_tokens: int = 1 << 16) -> DataFrame:
+    """One row per batch of sequences of one bucket: batch_id, bucket, n_sequences and sequence_ids,
+    and ids (those of the sequences one after another) if ``packed`` has them.
+
+    A batch is emitted when its bucket has ``batch_tokens`` tokens (at least one
+    sequence), what is left at the end of a partition as smaller ones; every
+    sequence is in one batch.  A task holds at most one open batch of each
+    bucket, and nothing is shuffled: shuffle ``packed`` by a random number
+    before, or the batches after, for another order.
+    """
+    prepare(packed.sparkSession)
+    with_ids = "ids" in packed.columns
+    schema = "batch_id long, bucket int, n_sequences int, sequence_ids array<long>" + (", ids array<int>" if with_ids else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 40
+        open_: dict[int, list[pa.RecordBatch]] = {}
+
+        def draw(bucket: int, least: int) -> Iterator[pa.RecordBatch]:
+            """Full batches of a bucket, of ``least`` sequences or more; the rest stays open."""
+            nonlocal number
+            held = pa.Table.from_batches(open_[bucket]).combine_chunks()
+            room = max(1, batch_tokens >> bucket)
+            while held.num_rows >= least:
+                part, held = held.slice(0, room), held.slice(room)
+                sequences = part.column(0).combine_chunks()
+                columns = [pa.array([number]), pa.array([bucket], pa.int32()), pa.array([len(sequences)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(sequences)], pa.int32()), sequences)]
+                if with_ids:
+                    ids = part.column(2).combine_chunks().flatten()
+                    columns.append(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
+                number += 1
+                yield pa.RecordBatch.from_arrays(columns, names)
+            open_[bucket] = held.to_batches()
+
+        for batch in batches:
+            buckets = batch.column(1).to_numpy()
+            for bucket in np.unique(buckets).tolist():
+                open_.setdefault(bucket, []).append(batch.take(pa.array(np.flatnonzero(buckets == bucket))))
+                room = max(1, batch_tokens >> bucket)
+                if sum(b.num_rows for b in open_[bucket]) >= room:
+                    yield from draw(bucket, room)
+        for bucket in sorted(open_):
+            if open_[bucket]:
+                yield from draw(bucket, 1)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return packed.select("sequence_id", "bucket", *["ids"] * with_ids).mapInArrow(run, schema)
