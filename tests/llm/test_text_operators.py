@@ -46,6 +46,16 @@ def test_line_rules(spark):
     assert {r.doc_id for r in kept.collect()} >= {8} and lines.judge(frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_repeated_windows_are_exact_whatever_the_hash(spark, monkeypatch):
+    """With a hash that is the same, or nearly, for all words the counts are those of the words."""
+    r = random.Random(4)
+    texts = [(k, " ".join(r.choice("abcd") for _ in range(r.randint(0, 60)))) for k in range(80)] + ODD[:4]
+    want = [base_counts(t or "")[4] for _, t in texts]
+    for weak in (lambda z: F.lit(1).cast("long"), lambda z: F.pmod(F.xxhash64(z), F.lit(3)) * F.lit(1 << 61), F.xxhash64):
+        monkeypatch.setattr(lines, "HASH", weak)
+        assert [x.n_repeat_words for x in lines.judge(frame(spark, texts)).collect()] == want
+
+
 def spans_of(t):
     assign = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]

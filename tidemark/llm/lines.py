@@ -8,7 +8,9 @@ half of its word characters is rejected, as is one that fails the base rules.
 
 A null text has no words and fails the base rules.  Every row gives one row.
 Runs of three words are compared by 64-bit hashes of which the low bits, as
-many as the number of words needs, hold the position.
+many as the number of words needs, hold the position.  Where equal hashes turn
+out to be of different words, the text's runs are sorted by their words
+instead, so the counts are exact for texts of any length.
 """
 
 from __future__ import annotations
@@ -76,6 +78,18 @@ def _phrases(text: Column) -> Column:
     return found
 
 
+#: Hash of three words.
+HASH = F.xxhash64
+
+
+def _exact(ws: Column, many: Column) -> Column:
+    """Positions of the runs of three words that are found twice or more, from the words themselves."""
+    runs = F.sort_array(F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(*[F.get(ws, i + k).alias(f"w{k}") for k in range(3)], i.cast("long").alias("i"))))
+    pairs = F.arrays_zip(F.slice(runs, 1, many - 1).alias("x"), F.slice(runs, 2, many - 1).alias("y"))
+    same = F.filter(pairs, lambda z: (z["x"]["w0"] == z["y"]["w0"]) & (z["x"]["w1"] == z["y"]["w1"]) & (z["x"]["w2"] == z["y"]["w2"]))
+    return F.flatten(F.transform(same, lambda z: F.array(z["x"]["i"], z["y"]["i"])))
+
+
 def _judged(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns``, and text, ls (lines with a word), left (those that pass, without
     repetitions), n_words, word_chars, n_symbols, n_once and n_repeat_words.
@@ -91,16 +105,20 @@ def _judged(docs: DataFrame, *columns: str) -> DataFrame:
     ws, n = F.col("ws"), F.size("ws")
     many = F.greatest(n - 2, F.lit(0))
     windows = F.arrays_zip(*[F.slice(ws, k, many).alias(f"w{k}") for k in (1, 2, 3)])
-    rows = rows.select(*keep, "one", n.cast("long").alias("n_words"), F.length(F.array_join(ws, "")).cast("long").alias("word_chars"), windows.alias("windows"), F.length(F.bin(n)).cast("int").alias("bits"))
+    rows = rows.select(*keep, "one", "ws", n.cast("long").alias("n_words"), F.length(F.array_join(ws, "")).cast("long").alias("word_chars"), windows.alias("windows"), F.length(F.bin(n)).cast("int").alias("bits"))
     keep += ["n_words", "word_chars"]
     # windows' hashes, each with its position in the low bits: sorted, equal ones are neighbours
-    packed = F.transform("windows", lambda z, i: _shift(_shift(F.xxhash64(z), F.col("bits")), F.col("bits"), right=False).bitwiseOR(i))
-    rows = rows.select(*keep, "one", "bits", F.sort_array(packed).alias("p"))
+    packed = F.transform("windows", lambda z, i: _shift(_shift(HASH(z), F.col("bits")), F.col("bits"), right=False).bitwiseOR(i))
+    rows = rows.select(*keep, "one", "ws", "bits", F.sort_array(packed).alias("p"))
     p, pairs = F.col("p"), F.greatest(F.size("p") - 1, F.lit(0))
     zipped = F.arrays_zip(F.slice(p, 1, pairs).alias("x"), F.slice(p, 2, pairs).alias("y"))
     equal = F.filter(zipped, lambda z: _shift(z["x"].bitwiseXOR(z["y"]), F.col("bits")) == 0)
-    rows = rows.select(*keep, (_shift(F.col("one"), F.col("bits"), right=False) - 1).alias("mask"), F.col("bits"), equal.alias("equal"))
-    at = F.flatten(F.transform("equal", lambda z: F.array(z["x"].bitwiseAND(F.col("mask")), z["y"].bitwiseAND(F.col("mask")))))
+    rows = rows.select(*keep, "ws", (_shift(F.col("one"), F.col("bits"), right=False) - 1).alias("mask"), F.col("bits"), equal.alias("equal"))
+    at = F.transform("equal", lambda z: F.struct(*[z[c].bitwiseAND(F.col("mask")).cast("int").alias(c) for c in "xy"]))
+    rows = rows.select(*keep, "ws", at.alias("at"))
+    ws = F.col("ws")
+    other = F.exists("at", lambda z: (F.get(ws, z["x"]) != F.get(ws, z["y"])) | (F.get(ws, z["x"] + 1) != F.get(ws, z["y"] + 1)) | (F.get(ws, z["x"] + 2) != F.get(ws, z["y"] + 2)))
+    at = F.when(other, _exact(ws, F.size(ws) - 2)).otherwise(F.flatten(F.transform("at", lambda z: F.array(z["x"].cast("long"), z["y"].cast("long")))))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
     repeated = F.aggregate(F.sort_array(F.array_distinct(at)), start, lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3).cast("long"), i - acc["last"])).alias("n"), i.alias("last")), lambda acc: acc["n"])
     symbols = F.when(F.col("symbols"), count_of(F.col("text"), SYMBOLS).cast("long")).otherwise(F.lit(0).cast("long"))
