@@ -3,6 +3,7 @@ import random
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.asof import parse_instant
 from tidemark.cli import main
@@ -205,3 +206,161 @@ def test_stream(lake, spark, tmp_path):
     ingest(lake, "live", source, str(tmp_path / "cp")).awaitTermination(60)
     assert values(lake.scan("live")) == [("1", "b")]
     assert latest_first(lake.scan("live")).count() == 1
+
+
+def test_names_of_with_clauses(lake, spark):
+    """A WITH clause hides a table of its name, where it is in force and nowhere else."""
+    sql = Context(spark, lake.store.root).sql
+    n = sql("select count(*) from t0").first()[0]
+    assert n == 3
+    assert sql("with t0 as (select 1 as x) select count(*) from t0").first()[0] == 1
+    assert sql("WITH T0 AS (select * from t0 where key < '3') SELECT count(*) FROM t0").first()[0] == 2  # its own query reads the table
+    assert sql("with a as (select * from t0), t0 as (select * from a limit 1) select (select count(*) from t0) + (select count(*) from a)").first()[0] == n + 1
+    assert sql("select (select count(*) from (with t0 as (select 1) select * from t0)) + (select count(*) from t0)").first()[0] == n + 1
+    assert sql("with x as (with t0 as (select 1) select * from t0) select (select count(*) from x) + count(*) from t0").first()[0] == n + 1
+    assert sql("with t0 as (select 1) select * from t0 where exists (select 1 from t0 q)").count() == 1
+    assert sql("with recursive t0(k) as (select 1 union all select k + 1 from t0 where k < 4) select count(*) from t0").first()[0] == 4
+    assert sql("with `t0` (x, y) as (select 1, 2), z as (select 1) select x + y from t0, z").first()[0] == 3
+    assert sql("with t0 as (select 1) select count(*) from t1, t0").first()[0] == 2
+    with pytest.raises(VersionClauseError):
+        sql("with t0 as (select 1) select * from t0 at('2024-02-17T00:00:00Z')")
+
+
+def test_table_statement_files_and_foreign_views(lake, spark):
+    context = Context(spark, lake.store.root)
+    assert context.sql("table t0 at('2024-02-17T00:00:00Z')").count() == 2
+    assert context.sql("table t1 union all table t1").count() == 4
+    shown = {(r.table_name, r.as_of, r.rank, r.file, r.pruned) for r in context.files("select * from t0 at('2024-01-17T00:00:00Z') join t1 using (key)").collect()}
+    assert shown == {("t0", "2024-01-17T00:00:00.000Z", 0, "base.parquet", False), ("t0", "2024-01-17T00:00:00.000Z", None, "delta1.parquet", True), ("t1", None, 0, "delta2.parquet", False), ("t1", None, 1, "delta1.parquet", False)}
+    spark.range(1).createOrReplaceTempView("t3__current")
+    with pytest.raises(VersionClauseError):
+        context.sql("select * from t3")
+    spark.catalog.dropTempView("t3__current")
+    assert context.sql("select * from t3").count() == 3 and context.sql("explain select * from t3").count() == 1
+
+
+def test_many_files(lake, spark):
+    """Base and deltas in many files of different keys, read with a broadcast list, against a plain reading."""
+    schema = TableSchema((ColumnDef("value", "String"),))
+    rows = spark.range(400).selectExpr("cast(id % 150 as string) key", "timestamp'2024-01-01 00:00:00Z' + make_interval(0, 0, 0, int(id)) event_time", "cast(id as string) value")
+    create(lake, "wide", schema, at("2024-01-01"), rows.filter("event_time <= '2024-02-01'").groupBy("key").agg({"event_time": "max", "value": "max"}).selectExpr("key", "`max(event_time)` event_time", "`max(value)` value"), files=5)
+    for month in range(2, 12):
+        a, b = at(f"2024-{month:02d}-01"), at(f"2024-{month + 1:02d}-01")
+        upsert(lake, "wide", rows.filter(f"event_time > '2024-{month:02d}-01' and event_time <= '2024-{month + 1:02d}-01'"), a, b, files=4)
+    assert len(lake.files("wide")) > 40
+    state = {d: values(lake.scan("wide", at(d))) for d in ("2024-01-20", "2024-05-05", "2024-12-01")}
+    for d, got in state.items():
+        newest = rows.filter(f"event_time <= '{d}'").groupBy("key").agg({"event_time": "max"})
+        assert [k for k, _ in got] == sorted(r.key for r in newest.collect()) if d > "2024-02" else got
+    plan = lake.scan("wide")._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    version = compact(lake, "wide", at("2024-06-01"), files=6)
+    assert {d: values(lake.scan("wide", at(d))) for d in state} == state
+    assert sum(f.startswith("base-") for f in lake.files("wide")) == 6 and lake.table("wide").version() == version
+    upsert(lake, "wide", spark.sql("select '7' key, timestamp'2024-12-05 00:00:00Z' event_time, 'last' value"), at("2024-12-05"), at("2024-12-05"))
+    assert dict(values(lake.scan("wide")))["7"] == "last" and dict(values(lake.scan("wide")))["8"] == dict(state["2024-12-01"])["8"]
+
+
+def test_equal_names_in_different_folders(lake, spark):
+    import pathlib
+
+    root = pathlib.Path(lake.store.root) / "deep"
+    (root / "a" / "b").mkdir(parents=True)
+    s = snapshot([seg(1, "2024-01-01", file="f.parquet", delta=[delta("b/f.parquet", "2024-02-01"), delta("a/b/f.parquet", "2024-03-01")])], [("value", "String")])
+    (root / "version.txt").write_text("1")
+    (root / "s1.json").write_text(s.to_json())
+    for k, name in enumerate(("f.parquet", "b/f.parquet", "a/b/f.parquet")):
+        rows = spark.createDataFrame([(str(i), f"{k}") for i in range(k, 3)][: 4 - k], "key string, value string").selectExpr("key", "timestamp'2024-01-02 00:00:00Z' event_time", "value")
+        write_file(lake, "deep", rows, s.schema, "x.parquet")
+        (root / name).parent.mkdir(exist_ok=True)
+        (root / "x.parquet").rename(root / name)
+        (root / ".x.parquet.crc").unlink(missing_ok=True)
+    assert values(lake.scan("deep")) == [("0", "0"), ("1", "1"), ("2", "2")]
+
+
+def test_writers_beside_each_other(lake, spark, monkeypatch):
+    from tidemark import writer
+    from tidemark.errors import ConflictError
+
+    schema = TableSchema((ColumnDef("value", "String"),))
+    row = lambda k: spark.sql(f"select '{k}' key, timestamp'2024-03-01 00:00:00Z' event_time, 'v{k}' value")
+    create(lake, "both", schema, at("2024-01-01"))
+    with pytest.raises(ConflictError):
+        create(lake, "both", schema, at("2024-01-01"))
+    real, calls = writer.publish, []
+
+    def raced(lake_, table, snap, version):
+        """Another writer publishes the same version just before."""
+        calls.append(version)
+        if len(calls) == 1:
+            write_file(lake_, table, row("other"), schema, "other.parquet")
+            s = lake_.table(table).snapshot()
+            first = s.segments[0]
+            from tidemark.metadata import Delta, Segment
+
+            # and is lost before it points to it
+            lake_.store.put_text(Snapshot(s.schema, (Segment(first.id, first.start, None, None, (), (Delta("other.parquet", at("2024-03-01"), at("2024-03-01")),)),)).to_json(), table, f"s{version}.json")
+        real(lake_, table, snap, version)
+
+    monkeypatch.setattr(writer, "publish", raced)
+    assert upsert(lake, "both", row("mine"), at("2024-03-01"), at("2024-03-01"), stem="mine") == "3" and calls == ["2", "3"]
+    assert values(lake.scan("both")) == [("mine", "vmine"), ("other", "vother")]
+    assert upsert(lake, "both", row("mine"), at("2024-03-01"), at("2024-03-01"), stem="mine") == "3"  # it is there already
+    assert [writer.following(v) for v in ("9", "v9", "abc")] == ["10", "v10", "abc1"]
+
+
+def test_streams_into_one_table_and_after_a_crash(lake, spark, tmp_path, monkeypatch):
+    from tidemark.streaming import ingest as module
+
+    schema = TableSchema((ColumnDef("value", "String"),))
+    create(lake, "two", schema, at("2024-01-01"))
+    columns = spark.sql("select '' key, timestamp'2024-01-02 00:00:00Z' event_time, '' value").schema
+
+    def stream(name):
+        return spark.readStream.schema(columns).parquet(str(tmp_path / name))
+
+    def put(name, key, value):
+        spark.sql(f"select '{key}' key, timestamp'2024-01-02 00:00:00Z' event_time, '{value}' value").write.mode("append").parquet(str(tmp_path / name))
+
+    put("a", "1", "a")
+    put("b", "2", "b")
+    for name in ("a", "b"):
+        module.ingest(lake, "two", stream(name), str(tmp_path / f"cp_{name}")).awaitTermination(60)
+    assert values(lake.scan("two")) == [("1", "a"), ("2", "b")]
+    # a crash after the batch was published and marked, before the stream committed it
+    real = lake.store.write_text
+    put("a", "3", "c")
+
+    def crash(text, *names):
+        real(text, *names)
+        if names[-1].startswith("_batch_"):
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(lake.store, "write_text", crash)
+    with pytest.raises(Exception):  # noqa: B017
+        module.ingest(lake, "two", stream("a"), str(tmp_path / "cp_a")).awaitTermination(60)
+    monkeypatch.undo()
+    version = lake.table("two").version()
+    put("a", "4", "d")
+    module.ingest(lake, "two", stream("a"), str(tmp_path / "cp_a")).awaitTermination(60)
+    assert values(lake.scan("two")) == [("1", "a"), ("2", "b"), ("3", "c"), ("4", "d")]
+    assert int(lake.table("two").version()) == int(version) + 1
+
+
+def test_functions(spark):
+    from tidemark import functions as f
+
+    row = spark.range(1).select(
+        f.lcm(F.lit(9007199254740993), F.lit(1)), f.lcm(F.lit(6_000_000_000), F.lit(9_000_000_000)), f.lcm(F.lit(0), F.lit(5)), f.lcm(F.lit(-4), F.lit(6)), f.gcd(F.lit(12), F.lit(-18)), f.gcd(F.lit(0), F.lit(0)),
+        f.iszero(F.lit(0.0)), f.trunc(F.lit(-3.789), 1), f.trunc(F.lit(3.789)), f.split_part_or_empty(F.lit("a-b"), "-", 3), f.concat_skipping_nulls(F.lit("a"), F.lit(None).cast("string"), F.lit("b")),
+        f.regexp_replace_first(F.lit("xa1 b2\n"), "([a-z])([0-9])", "$1"), f.regexp_replace_first(F.lit("abc"), "z", "y"), f.regexp_replace_first(F.lit("a\nb"), "b", ""),
+    ).first()
+    assert tuple(row) == (9007199254740993, 18_000_000_000, 0, 12, 6, 0, True, pytest.approx(-3.7), 3.0, "", "ab", "x$1 b2\n", "abc", "a\n")
+
+
+def test_random_rows(spark):
+    from tidemark.writer import random_rows
+
+    rows = random_rows(spark, 200, at("2024-01-01"), at("2024-02-01"), 20).collect()
+    assert 0 < len(rows) <= 200 and len({(r.key, r.event_time) for r in rows}) == len(rows) and len({r.key for r in rows}) <= 20
+    assert rows == sorted(rows, key=lambda r: (-r.event_time.timestamp(), r.key))

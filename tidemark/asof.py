@@ -7,7 +7,7 @@ from datetime import UTC, datetime, timedelta
 
 from tidemark.errors import TimeError
 
-_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 _RFC3339 = re.compile(r"(\d{4}-\d\d-\d\d)[Tt ](\d\d:\d\d:\d\d)(?:\.(\d{1,9}))?([Zz]|[+-]\d\d:\d\d)")
 
 
@@ -36,4 +36,4 @@ def format_instant(at: datetime) -> str:
 
 
 def micros(at: datetime) -> int:
-    return (at - _EPOCH) // timedelta(microseconds=1)
+    return (at - EPOCH) // timedelta(microseconds=1)

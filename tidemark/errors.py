@@ -5,6 +5,10 @@ class TidemarkError(Exception):
     """Any failure that this library raises itself."""
 
 
+class ConflictError(TidemarkError):
+    """Another writer has published the version first."""
+
+
 class MetadataError(TidemarkError):
     """A snapshot or version pointer can't be read."""
 

@@ -29,7 +29,9 @@ def gcd(a: Column, b: Column) -> Column:
 
 
 def lcm(a: Column, b: Column) -> Column:
-    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs(a * b / gcd(a, b)).cast("long"))
+    """Least common multiple; raises only where it doesn't fit 64 bits itself."""
+    part = F.call_function("div", F.abs(a).cast("long"), F.when((a == 0) | (b == 0), F.lit(1).cast("long")).otherwise(gcd(a, b)))
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(part * F.abs(b).cast("long"))
 
 
 def iszero(x: Column) -> Column:
@@ -46,5 +48,7 @@ def split_part_or_empty(text: Column, by: str, part: int) -> Column:
 
 
 def regexp_replace_first(text: Column, pattern: str, by: str) -> Column:
-    """Only the first match is replaced."""
-    return F.regexp_replace(text, f"(?s)^(.*?)(?:{pattern})(.*)$", "$1" + by.replace("$", r"\$") + "$2")
+    """Only the first match is replaced, by ``by`` as it stands; the pattern may have groups of its own."""
+    at = F.regexp_instr(text, F.lit(pattern))
+    size = F.length(F.regexp_extract(text, pattern, 0))
+    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.lit(by), F.substring(text, at + size, F.length(text)))).otherwise(text)

@@ -19,8 +19,8 @@ from tidemark.asof import micros
 from tidemark.schema import EVENT_TIME, KEY, TableSchema
 
 RANK, ROW = "_tm_rank", "_tm_row"
-#: Up to so many files the precedence is a CASE, beyond it a join with their list.
-CASES = 32
+#: Up to so many files the precedence is a CASE, beyond it a join with their list, which is broadcast up to so many names.
+CASES, LISTED = 32, 100_000
 
 
 def first_of_key(rows: DataFrame) -> DataFrame:
@@ -41,17 +41,25 @@ def merge_files(spark: SparkSession, folder: str, files: Sequence[str], schema:
     if not once:
         return spark.createDataFrame([], read).select(*names)
     rows = spark.read.schema(read).parquet(*[f"{folder}/{f}" for f in once])
-    rows = rows.select("*", F.col("_metadata.file_name").alias("_tm_file"), F.col("_metadata.row_index").alias(ROW))
     # the name in the metadata is percent-encoded
     encoded = [quote(f.rsplit("/", 1)[-1], safe="!$&'()*+,;=:@-._~") for f in once]
-    if len(once) <= CASES:
+    rows = rows.select("*", F.col("_metadata.file_name" if len(set(encoded)) == len(once) else "_metadata.file_path").alias("_tm_file"), F.col("_metadata.row_index").alias(ROW))
+    if len(set(encoded)) < len(once):
+        # one name in several folders: the longest path that the file's ends with
+        paths = [quote(f.lstrip("/"), safe="/!$&'()*+,;=:@-._~") for f in once]
+        rank = F.lit(None).cast("int")
+        for k, name in sorted(enumerate(paths), key=lambda x: len(x[1])):
+            rank = F.when(F.endswith("_tm_file", F.lit("/" + name)), F.lit(k)).otherwise(rank)
+        rows = rows.withColumn(RANK, rank)
+    elif len(once) <= CASES:
         rank = F.lit(len(once) - 1)
         for k, name in reversed(list(enumerate(encoded[:-1]))):
             rank = F.when(F.col("_tm_file") == name, F.lit(k)).otherwise(rank)
         rows = rows.withColumn(RANK, rank)
     else:
         listed = spark.createDataFrame(list(zip(encoded, range(len(encoded)), strict=True)), f"_tm_file string, {RANK} int")
-        rows = rows.join(listed, "_tm_file")
+        # without the hint the rows may be moved to the few names
+        rows = rows.join(F.broadcast(listed) if len(once) <= LISTED else listed, "_tm_file")
     return first_of_key(rows.filter(at_most(as_of))).select(*names)
 
 

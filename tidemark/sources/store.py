@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 from tidemark.errors import MetadataError
@@ -41,6 +43,23 @@ class Store:
         finally:
             stream.close()
 
+    def put_text(self, text: str, *names: str, replace: bool = False) -> bool:
+        """Write a file that is seen whole or not at all; without ``replace`` only if there is none: whether it was written."""
+        jvm, part = self.spark._jvm, (*names[:-1], f"_tmp_{uuid.uuid4().hex}")
+        self.write_text(text, *part)
+        (a, fs), (b, _) = self._at(*part), self._at(*names)
+        options = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(options, 1)
+        how[0] = options.OVERWRITE if replace else options.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(a).toUri(), self.spark._jsc.hadoopConfiguration()).rename(a, b, how)
+            return True
+        except Exception:
+            fs.delete(a, False)
+            if replace or not fs.exists(b):
+                raise
+            return False
+
     def names(self, *names: str) -> list[str]:
         path, fs = self._at(*names)
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []

@@ -1,30 +1,36 @@
-"""Writing tables: single Parquet files in row order, snapshots, upserts and compaction."""
+"""Writing tables: Parquet files in row order, snapshots, upserts and compaction, safe beside other writers."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.errors import MetadataError
+from tidemark.errors import ConflictError, MetadataError
 from tidemark.lakehouse import Lakehouse
 from tidemark.metadata import Delta, Segment, Snapshot
+from tidemark.operators.scan import merge_files
 from tidemark.schema import EVENT_TIME, KEY, TableSchema
 
 
-def write_file(lake: Lakehouse, table: str, rows: DataFrame, schema: TableSchema, file: str) -> None:
-    """One named Parquet file, in the order of ``rows``; instants in milliseconds."""
-    spark, part = lake.spark, f"_tmp_{uuid.uuid4().hex}"
-    types = schema.to_struct_type()
-    rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in types]).coalesce(1)
+def _write(lake: Lakehouse, rows: DataFrame, schema: TableSchema, path: str) -> None:
+    spark = lake.spark
+    rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.to_struct_type()])
     old = spark.conf.get("spark.sql.parquet.outputTimestampType")
     spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MILLIS")
     try:
-        rows.write.parquet(lake.store.path(table, part))
+        rows.write.parquet(path)
     finally:
         spark.conf.set("spark.sql.parquet.outputTimestampType", old)
+
+
+def write_file(lake: Lakehouse, table: str, rows: DataFrame, schema: TableSchema, file: str) -> None:
+    """One named Parquet file, in the order of ``rows``; instants in milliseconds."""
+    part = f"_tmp_{uuid.uuid4().hex}"
+    _write(lake, rows.coalesce(1), schema, lake.store.path(table, part))
     made = [n for n in lake.store.names(table, part) if n.endswith(".parquet")]
     if len(made) != 1:
         raise MetadataError(f"expected one file, found {len(made)}")
@@ -32,12 +38,63 @@ def write_file(lake: Lakehouse, table: str, rows: DataFrame, schema: TableSchema
     lake.store.remove(table, part)
 
 
+def write_files(lake: Lakehouse, table: str, rows: DataFrame, schema: TableSchema, stem: str, files: int = 1) -> list[str]:
+    """``rows`` as so many Parquet files of different keys, each latest first, made by as many tasks.
+
+    All rows of a key are in one file, so the files' order among each other
+    doesn't matter.  Returns their names; without rows there is one empty file.
+    """
+    if files <= 1:
+        write_file(lake, table, latest_first(rows), schema, f"{stem}.parquet")
+        return [f"{stem}.parquet"]
+    part = f"_tmp_{uuid.uuid4().hex}"
+    spread = rows.repartition(files, KEY).sortWithinPartitions(F.col(EVENT_TIME).desc_nulls_last(), KEY)
+    _write(lake, spread, schema, lake.store.path(table, part))
+    made = [n for n in lake.store.names(table, part) if n.endswith(".parquet")]
+    names = [f"{stem}-{k}.parquet" for k in range(len(made))]
+    for old, new in zip(made, names, strict=True):
+        lake.store.move((table, part, old), (table, new))
+    lake.store.remove(table, part)
+    return names
+
+
 def publish(lake: Lakehouse, table: str, snapshot: Snapshot, version: str) -> None:
-    """Write a snapshot, then point to it."""
+    """Write a snapshot under a new version, then point to it.
+
+    Of two writers of one version the second gets a :class:`ConflictError`.
+    """
     if wrong := snapshot.validate():
         raise MetadataError("; ".join(wrong))
-    lake.store.write_text(snapshot.to_json(), table, f"s{version}.json")
-    lake.store.write_text(version, table, "version.txt")
+    if not lake.store.put_text(snapshot.to_json(), table, f"s{version}.json"):
+        raise ConflictError(f"{table}: version {version} exists")
+    lake.store.put_text(version, table, "version.txt", replace=True)
+
+
+def following(version: str) -> str:
+    """The version after another: the number at its end, if there is one, is raised."""
+    head = version.rstrip("0123456789")
+    return f"{head}{int(version[len(head):] or 0) + 1}"
+
+
+def _commit(lake: Lakehouse, table: str, change: Callable[[Snapshot, str], Snapshot | None], attempts: int = 20) -> str:
+    """Publish what ``change`` makes of the current snapshot (and the new version's name), again if another
+    writer was first; the version that holds the change."""
+    for _ in range(attempts):
+        version = lake.table(table).version()
+        new = following(version)
+        if lake.store.exists(table, f"s{new}.json"):
+            # written whole, but not pointed to yet, perhaps by a writer that is lost
+            lake.store.put_text(new, table, "version.txt", replace=True)
+            continue
+        snapshot = change(lake.table(table).snapshot(version), new)
+        if snapshot is None:
+            return version
+        try:
+            publish(lake, table, snapshot, new)
+            return new
+        except ConflictError:
+            continue
+    raise ConflictError(f"{table}: {attempts} attempts failed")
 
 
 def latest_first(rows: DataFrame, *ties: str) -> DataFrame:
@@ -62,50 +119,65 @@ def generate(lake: Lakehouse, table: str, csv: str, file: str) -> None:
     write_file(lake, table, csv_rows(lake.spark, csv, schema), schema, file)
 
 
-def create(lake: Lakehouse, table: str, schema: TableSchema, start: datetime, base: DataFrame | None = None) -> None:
-    file = None
-    if base is not None:
-        file = "base.parquet"
-        write_file(lake, table, latest_first(base), schema, file)
-    publish(lake, table, Snapshot(schema, (Segment("1", start, None, file),)), "1")
+def create(lake: Lakehouse, table: str, schema: TableSchema, start: datetime, base: DataFrame | None = None, files: int = 1) -> None:
+    names = write_files(lake, table, base, schema, "base", files) if base is not None else []
+    publish(lake, table, Snapshot(schema, _roots("1", start, names, ())), "1")
 
 
-def upsert(lake: Lakehouse, table: str, rows: DataFrame, start: datetime, end: datetime) -> str:
-    """Add a delta to the last open segment, in a new snapshot; returns its version."""
-    now = lake.table(table)
-    snapshot, version = now.snapshot(), str(int(now.version()) + 1)
-    file = f"delta{version}.parquet"
-    write_file(lake, table, latest_first(rows), snapshot.schema, file)
-    k = max((k for k, s in enumerate(snapshot.segments) if s.end is None), default=None)
-    if k is None:
-        raise MetadataError("no open segment")
-    s = snapshot.segments[k]
-    grown = Segment(s.id, s.start, s.end, s.file, s.segments, (*s.delta, Delta(file, start, end)))
-    publish(lake, table, Snapshot(snapshot.schema, (*snapshot.segments[:k], grown, *snapshot.segments[k + 1 :])), version)
-    return version
+def _roots(name: str, start: datetime, base: list[str], deltas: tuple[Delta, ...]) -> tuple[Segment, ...]:
+    """A segment, or one for each of several base files; the deltas go before them all."""
+    rest = [Segment(f"{name}.{k}", start, None, file) for k, file in enumerate(base[1:], 1)]
+    return (Segment(name, start, None, base[0] if base else None, (), deltas), *rest)
 
 
-def compact(lake: Lakehouse, table: str, at: datetime) -> str:
-    """Close the history before ``at`` and start a segment whose base is the state then.
+def upsert(lake: Lakehouse, table: str, rows: DataFrame, start: datetime, end: datetime, files: int = 1, stem: str | None = None) -> str:
+    """Add deltas to the first open segment, in a new snapshot; returns its version.
 
-    Deltas that reach beyond ``at`` are kept in the new segment too.
+    ``files``: as many tasks write as many files, of different keys.  ``stem``
+    names them: if the current snapshot has deltas of that name already, nothing
+    is done, so that a job may run again.
+    """
+    stem = stem or f"delta-{uuid.uuid4().hex[:12]}"
+    own = (f"{stem}.parquet", f"{stem}-0.parquet")
+    if {*own} & {*lake.table(table).snapshot().all_files()}:
+        return lake.table(table).version()
+    names = write_files(lake, table, rows, lake.get_schema(table), stem, files)
+
+    def change(snapshot: Snapshot, _: str) -> Snapshot | None:
+        if {*own} & {*snapshot.all_files()}:
+            return None
+        k = next((k for k, s in enumerate(snapshot.segments) if s.end is None), None)
+        if k is None:
+            raise MetadataError("no open segment")
+        s = snapshot.segments[k]
+        grown = Segment(s.id, s.start, s.end, s.file, s.segments, (*s.delta, *(Delta(f, start, end) for f in names)))
+        return Snapshot(snapshot.schema, (*snapshot.segments[:k], grown, *snapshot.segments[k + 1 :]))
+
+    return _commit(lake, table, change)
+
+
+def compact(lake: Lakehouse, table: str, at: datetime, files: int = 1) -> str:
+    """Close the history before ``at`` and start segments whose bases are the state then.
+
+    ``files``: as many tasks write as many base files, of different keys, each
+    in a segment of its own.  Deltas that reach beyond ``at`` are kept in the
+    new segment too.
     """
-    now = lake.table(table)
-    snapshot, version = now.snapshot(), str(int(now.version()) + 1)
-    file = f"base{version}.parquet"
-    state = lake.scan(table, at)
-    write_file(lake, table, latest_first(state), snapshot.schema, file)
-    late: list[Delta] = []
-    closed = []
-    for s in snapshot.segments:
-        if s.end is None:
-            late += [d for d in s.delta if d.end > at]
-            # closed history keeps only the deltas that the new base doesn't replace
-            s = Segment(s.id, s.start, at, s.file, s.segments, tuple(d for d in s.delta if d.start <= at))
-        closed.append(s)
-    ahead = Segment(version, at, None, file, (), tuple(Delta(d.file, max(d.start, at), d.end) for d in late))
-    publish(lake, table, Snapshot(snapshot.schema, (ahead, *closed)), version)
-    return version
+    def change(snapshot: Snapshot, version: str) -> Snapshot:
+        state = merge_files(lake.spark, lake.table(table).folder, snapshot.data_files(at), snapshot.schema, at)
+        base = write_files(lake, table, state, snapshot.schema, f"base-{uuid.uuid4().hex[:12]}", files)
+        late: list[Delta] = []
+        closed = []
+        for s in snapshot.segments:
+            if s.end is None:
+                late += [d for d in s.delta if d.end > at]
+                # closed history keeps only the deltas that the new base doesn't replace
+                s = Segment(s.id, s.start, at, s.file, s.segments, tuple(d for d in s.delta if d.start <= at))
+            closed.append(s)
+        ahead = _roots(version, at, base, tuple(Delta(d.file, max(d.start, at), d.end) for d in late))
+        return Snapshot(snapshot.schema, (*ahead, *closed))
+
+    return _commit(lake, table, change)
 
 
 def random_rows(spark: SparkSession, rows: int, start: datetime, end: datetime, keys: int, seed: int = 0) -> DataFrame:
