@@ -1,13 +1,16 @@
 import duckdb
 import pytest
 
-from tidemark.plans.catalog import ORACLES, QUERIES
+from tidemark.errors import TidemarkError
+from tidemark.plans.catalog import ORACLES, QUERIES, shared_folder
 
 DIR = "/root/testdata/sf0.001"
 
 
 def canonical(rows):
     def one(v):
+        if isinstance(v, list):
+            return tuple(map(one, v))
         return round(float(v), 6) if isinstance(v, float) or type(v).__name__ == "Decimal" else v
 
     return sorted((tuple(map(one, r)) for r in rows), key=repr)
@@ -42,3 +45,27 @@ def test_history_holds_late_events_and_those_without_instant(spark, tmp_path):
     for name in ("r8_scan_current", "r8_scan_as_of"):
         want = con.sql(f"SELECT key, event_id FROM ({ORACLES[name]})").fetchall()
         assert canonical(QUERIES[name](spark, str(tmp_path)).select("key", "event_id").collect()) == canonical(want)
+
+
+def test_precedence_is_told_from_the_latest(spark):
+    """The table ``layers`` has many keys whose winner isn't their latest event."""
+    row = QUERIES["r7_not_the_latest"](spark, DIR).first()
+    assert row.older > row.n / 2 > 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(TidemarkError):
+        shared_folder(Session())
