@@ -1,5 +1,6 @@
 import numpy as np
 
+from tidemark.llm import embedding
 from tidemark.llm.embedding import near_vectors, quantise
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string"
@@ -25,15 +26,19 @@ def brute(rows, threshold):
     return sorted(out)
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     r = np.random.default_rng(2)
     centres = r.normal(size=(6, 8))
     rows = [(k, (centres[k % 6] + r.normal(size=8) * 0.13 * (1 + k % 3)).tolist()) for k in range(150)]
     rows += [(200 + k, rows[0][1]) for k in range(5)] + [(300, None), (301, []), (302, [0.0] * 8), (303, [1.0, None] * 4), (304, [float("nan")] * 8), (305, [float("inf")] + [0.0] * 7), (306, [1.0, 0.0]), (307, [2.0, 0.01]), (308, [1e-30] * 8), (309, [3e-30] * 8), (310, [-0.0] * 7 + [1.0]), (311, [0.0] * 7 + [1.0])]
     df = spark.createDataFrame([(i, v, 1, "clash") for i, v in rows], SCHEMA)
     want = brute(rows, 0.95)
-    for block in (8192, 20):
-        got = near_vectors(df, block=block).collect()
+    for options in ({}, {"block": 8192}, {"block": 20}, "lengths", "double"):
+        if options == "lengths":
+            monkeypatch.setattr(embedding, "LENGTHS", 1)
+            monkeypatch.setattr(embedding, "VALUES", 200)
+        data = df.withColumn("embedding", df.embedding.cast("array<double>")) if options == "double" else df
+        got = near_vectors(data, **(options if isinstance(options, dict) else {})).collect()
         assert sorted((x.vec_id, x.n_links, x.component_id) for x in got) == want
         assert all(x.kept == (x.vec_id == x.component_id) for x in got)
     assert near_vectors(df.limit(0)).count() == 0

@@ -7,9 +7,12 @@ vectors differs from the product of their int8 forms by at most
 computed again in double precision, and none is missed.
 
 Equal vectors are one class before anything is compared.  The classes are cut
-into blocks; a task multiplies two blocks, tile by tile, and returns counts per
-vector and a spanning forest of its links, never the pairs.  The work is
-quadratic in the number of different vectors, the memory of a task isn't.
+into blocks of about ``VALUES`` components; a task multiplies two blocks, tile
+by tile, and returns counts per vector and a spanning forest of its links, never
+the pairs.  Single-precision vectors travel as they are, not as doubles.  They
+travel whole, as pairs that were to be computed again elsewhere could be as many
+as a group of near copies has pairs.  The work is quadratic in the number of
+different vectors, the memory of a task isn't.
 
 A vector that is null, empty, zero, or holds null or non-finite components
 links with nothing and is kept.  Vectors of different lengths aren't compared.
@@ -26,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, join_classes
 from tidemark.llm.runtime import cut_lineage, prepare
 
 TILE = 1024
 #: Products of int8 values are exact in single precision up to this many components.
 EXACT = 1000
+#: Components that a block holds at most, and blocks into which small tables are cut to occupy more tasks.
+VALUES, SPREAD = 1 << 22, 8
+#: Different lengths of vectors up to which their list is broadcast.
+LENGTHS = 10_000
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,6 +89,7 @@ def _compare(node: np.ndarray, times: np.ndarray, role: np.ndarray, values: np.n
     ``role``: two blocks (0 and 1) are compared with each other, one block with itself.
     """
     n = len(node)
+    values = values.astype(np.float64)
     unit = values / np.linalg.norm(values / np.abs(values).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(values).max(axis=1, keepdims=True)
     q, s, e = quantise(unit)
     count = np.zeros(n, np.int64)
@@ -125,20 +133,29 @@ def _compare(node: np.ndarray, times: np.ndarray, role: np.ndarray, values: np.n
     return count, up
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = 8192) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding)."""
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding).
+
+    ``block``: vectors of a block, if not as many as ``VALUES`` allows.
+    """
     prepare(vectors.sparkSession)
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if single else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce((F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0), F.lit(False))
     # a 64-bit hash stands for the vector; -0.0 is 0.0
     rows = rows.withColumn("node", F.when(usable, F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0)))))
-    classes = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("times"), F.first("v").alias("v"))
+    classes = rows.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("times"), F.first("v").cast(kind).alias("v"))
     classes = cut_lineage(classes.withColumn("dim", F.size("v")))
-    sizes = classes.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
-    placed = classes.join(F.broadcast(sizes), "dim").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_blocks")).cast("int"))
+    n = F.count("*")
+    many = F.ceil(n / block) if block else F.greatest(F.ceil(n * F.col("dim") / VALUES), F.least(F.ceil(n / (2 * TILE)), F.lit(SPREAD)))
+    sizes = cut_lineage(classes.groupBy("dim").agg(many.cast("int").alias("n_blocks"), n.alias("times")))
+    sized = classes.withColumnRenamed("times", "copies")
+    sized = sized.join(F.broadcast(sizes.drop("times")), "dim") if sizes.count() <= LENGTHS else join_classes(sized, sizes, "dim")
+    placed = sized.withColumnRenamed("copies", "times").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    tasks = placed.select("dim", "block", "node", "times", F.col("v").cast("array<double>").alias("v"), other)
+    tasks = placed.select("dim", "block", "node", "times", "v", other)
     tasks = tasks.select("dim", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("role"), "node", "times", "v")
     tasks = tasks.repartition("dim", "low", "high").sortWithinPartitions("dim", "low", "high", "role", "node")
 
@@ -176,7 +193,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = 8192)
     linked = components(found.select("a", "b"))
     of_node = classes.select("node", "first_id", "times").join(links, "node", "left").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of_node.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_node = of_node.join(least, "component").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
-    out = rows.select("vec_id", "node").join(of_node, "node", "left")
+    of_node = cut_lineage(of_node.join(least, "component").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "times"))
+    out = join_classes(rows.select("vec_id", "node"), of_node, "node")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -18,6 +18,28 @@ from pyspark.sql import functions as F
 from tidemark.llm.runtime import cut_lineage, prepare
 
 
+#: Keys that hold more than this part of all rows are split, so they are at most as many as its inverse.
+HEAVY, SALTS = 1e-4, 64
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, heavy: float = HEAVY, salts: int = SALTS) -> DataFrame:
+    """Left join of ``rows`` with ``classes`` (one row for each ``key``; ``times``: rows that have it) on ``key``.
+
+    Rows of a key that holds much of the data are spread over ``salts`` copies
+    of its class, and rows without a key, which match nothing, over all tasks.
+    ``classes`` should be written down, as it is read thrice.  ``times`` isn't
+    returned.
+    """
+    total = classes.agg(F.sum("times")).first()[0] or 0
+    hot = classes.filter(F.col("times") > heavy * total).select(key, F.lit(salts).alias("_salts"))
+    place = F.monotonically_increasing_id()
+    left = rows.join(F.broadcast(hot), key, "left")  # at most 1 / heavy keys
+    left = left.withColumns({"_none": F.col(key).isNull(), "_key": F.coalesce(key, F.xxhash64(place)), "_salt": F.when(F.col("_salts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(place, F.lit(salts).cast("long")))})
+    right = classes.withColumn("_salt", F.explode(F.when(F.col("times") > heavy * total, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    right = right.withColumn("_none", F.lit(False)).withColumnRenamed(key, "_key").drop("times")
+    return left.join(right, ["_none", "_key", "_salt"], "left").drop("_none", "_key", "_salt", "_salts")
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs (a, b): the neighbours b that node a looks at."""
     least = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
