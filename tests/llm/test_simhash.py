@@ -54,11 +54,13 @@ def corpus(n=60, seed=3):
     return rows
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
     want = dict(zip([i for i, _ in rows], brute(rows), strict=True))
-    for options in ({}, {"cap": 8, "block": 4, "bits": 2, "tables": 4}):
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    monkeypatch.setattr(simhash, "PARTS", 3)
+    for options in ({}, {"cap": 8, "block": 4, "bits": 2, "tables": 4}, {"cap": 1, "block": 4, "bits": 1, "tables": 4}):
         got = near_duplicates(df, **options).collect()
         assert {r.doc_id: r.class_id for r in got} == want, options
         assert all(r.kept == (r.doc_id == r.class_id) for r in got) and len(got) == len(rows)
@@ -126,3 +128,38 @@ def test_near_copies_that_share_an_id(spark):
         assert len({(r.doc_id, r.text_key) for r in got}) == 1 and got[0].doc_id == got[0].class_id == least
         left = corpus_pipeline.near_duplicate(spark, df, "").collect()
         assert len(left) == 1 and left[0].doc_id == least
+
+
+def test_hot_groups_are_split_without_losing_links(spark, monkeypatch):
+    """A third of all texts are near copies of one; sampling alone, in parts, finds their class."""
+    monkeypatch.setattr(simhash, "SAMPLED", 2)
+    monkeypatch.setattr(simhash, "PARTS", 4)
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(200):
+        words = list(base)
+        words[r.randrange(120)] = f"x{k}"
+        rows.append((k, " ".join(words), "c"))
+    rows += [(1000 + k, " ".join(r.choice("abcdefgh") * 3 + str(r.randrange(99)) for _ in range(60)), "c") for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {x.doc_id: x.class_id for x in near_duplicates(df, cap=2).collect()}
+    assert got == {i: 0 if i < 200 else i for i, _, _ in rows}
+
+
+def test_sampled_bits_follow_the_corpus():
+    assert [simhash.sampled_bits(n) for n in (0, 1, 10**7, 10**7 + 1, 2 * 10**7 + 1, 10**10)] == [14, 14, 14, 15, 16, 24]
+
+
+def test_join_of_classes(spark):
+    """Keys that hold much of the data, and rows without a key, are spread; each row comes out once."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.graph import join_classes
+
+    rows = spark.createDataFrame([(i, 7 if i % 3 == 0 else None if i % 3 == 1 else i) for i in range(300)], "id long, k long")
+    classes = rows.filter("k is not null").groupBy("k").agg(F.count("*").alias("times"), F.max("id").alias("most"))
+    for heavy in (1e-4, 0.1, 1.0):
+        got = join_classes(rows, classes.filter("k <> 8"), "k", heavy, 4).collect()
+        assert sorted((x.id, x.k, x.most) for x in got) == [(i, *((7, 297) if i % 3 == 0 else (None, None) if i % 3 == 1 else (i, None if i == 8 else i))) for i in range(300)]
+    assert join_classes(rows.limit(0), classes.limit(0), "k").count() == 0

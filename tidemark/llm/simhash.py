@@ -4,9 +4,10 @@ Each document's set of five-word shingles gives a SimHash of ``BITS`` bits.
 Documents with equal sets are one class from the start, so copies are neither
 compared nor expanded.  Several tables group the classes by sampled bits;
 within a group, pairs at a small Hamming distance are linked.  Groups are read
-in an order refined by additional bits and cut into capped blocks; what lies in
-different blocks of one group is compared afterwards, but only across families
-that aren't linked yet, in tasks of two blocks.
+in an order refined by additional bits and cut into capped blocks, a large group
+also into several tasks; what lies in different blocks of one group is compared
+afterwards, but only across families that aren't linked yet, in tasks of two
+blocks.  More bits are sampled of a larger corpus.
 
 Sampling misses some pairs.  So classes whose prefixes share enough shingles
 are linked too: in one order of all shingles, the rarer first, sets as similar
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, join_classes
 from tidemark.llm.runtime import cut_lineage, prepare
 from tidemark.llm.textvec import U64, chunks, mix, shingles, span_hashes, words
 
@@ -42,6 +43,8 @@ SIG = [f"s{k}" for k in range(WORDS64)]
 #: Row i has the bits of byte i, one to a byte.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 _STEP = 16384
+#: One of so many classes is looked at for hot groups, which are split into so many parts.
+SAMPLED, PARTS = 64, 64
 
 
 def unique_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,40 +267,49 @@ def _candidates(nodes: DataFrame, distance: int, tables: int, bits: int, cap: in
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by key and additional bits; a block is at most ``cap`` rows of a group.  Rows of
-        groups of several blocks come out again (block >= 0), for the pairs across blocks."""
+        groups of several blocks come out again (block >= 0), for the pairs across blocks, as do
+        those of the parts of a group that is split.  The part's number is in the block's."""
 
         def blocks() -> Iterator[tuple[np.ndarray, ...]]:
             held, key, block = [], None, 0
             for batch in batches:
-                k, node, sig = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _signs(batch, 3)
+                k, node, sig, part = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _signs(batch, 3), batch.column(3 + WORDS64).to_numpy()
                 if not len(k):
                     continue
-                bounds = _bounds([k], 1)
+                bounds = _bounds([k, part], 2)
                 size = np.diff(bounds)
                 # groups within the batch that are small go together, all but the last, which may go on
                 for g in range(len(size)):
                     a, b = bounds[g], bounds[g + 1]
-                    if key is not None and k[a] != key:
-                        yield key, block, held
-                        held, block = [], 0
-                    key = k[a]
+                    if key != (k[a], part[a]):
+                        if key is not None:
+                            yield key[0], block, held
+                        held, block = [], int(part[a]) << 32
+                    key = k[a], part[a]
                     while a < b:
                         room = cap - sum(len(h[0]) for h in held)
                         held.append((node[a : min(b, a + room)], sig[a : min(b, a + room)]))
                         a = min(b, a + room)
                         if a < b:
-                            yield key, block, held
+                            yield key[0], block, held
                             held, block = [], block + 1
             if held:
-                yield key, block, held
+                yield key[0], block, held
 
         yield from _link_blocks(blocks(), distance)
 
     names = ["key", "extra", "node", *SIG]
     signs = ", ".join(f"{c} long" for c in SIG)
-    spread_rows = nodes.select("node", *SIG).mapInArrow(spread, f"key long, extra long, node long, {signs}")
-    sorted_rows = spread_rows.repartition("key").sortWithinPartitions("key", "extra", "node")
-    out = cut_lineage(sorted_rows.mapInArrow(link, f"a long, b long, block int, key long, {signs}"))
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.select("node", *SIG).mapInArrow(spread, f"key long, extra long, node long, {signs}")
+
+    # groups of more than a thousandth of all classes, at most a thousand a table, are split at random
+    sample, least = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0), max(16 * cap, nodes.count() // 1000)
+    hot = keyed(sample).groupBy("key").agg((SAMPLED * F.count("*")).alias("n")).filter(F.col("n") > least).select("key", F.lit(True).alias("hot"))
+    part = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("node", "key"), F.lit(PARTS))).otherwise(F.lit(0)).cast("long")
+    spread_rows = keyed(nodes).join(F.broadcast(hot), "key", "left").withColumn("part", part).drop("hot")
+    sorted_rows = spread_rows.repartition("key", "part").sortWithinPartitions("key", "part", "extra", "node")
+    out = cut_lineage(sorted_rows.mapInArrow(link, f"a long, b long, block long, key long, {signs}"))
     edges = out.filter("block < 0").select("a", "b").distinct()
     over = out.filter("block >= 0").select("key", "block", F.col("a").alias("node"), *SIG)
     if over.isEmpty():
@@ -314,7 +326,7 @@ def _link_blocks(blocks: Iterator[tuple], distance: int) -> Iterator[pa.RecordBa
         none = pa.nulls(len(a), pa.int64())
         a_out.clear()
         b_out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), -1, np.int32)), *[none] * (1 + WORDS64)], ["a", "b", "block", "key", *SIG])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), -1, np.int64)), *[none] * (1 + WORDS64)], ["a", "b", "block", "key", *SIG])
 
     def small() -> None:
         if waiting:
@@ -352,7 +364,7 @@ def _link_blocks(blocks: Iterator[tuple], distance: int) -> Iterator[pa.RecordBa
 
 def _over(key: int, block: int, node: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
     n = len(node)
-    return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(n, pa.int64()), pa.array(np.full(n, block, np.int32)), pa.array(np.full(n, key, np.int64)), *[pa.array(np.ascontiguousarray(sig[:, k]).view(np.int64)) for k in range(WORDS64)]], ["a", "b", "block", "key", *SIG])
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(n, pa.int64()), pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, key, np.int64)), *[pa.array(np.ascontiguousarray(sig[:, k]).view(np.int64)) for k in range(WORDS64)]], ["a", "b", "block", "key", *SIG])
 
 
 def _across_blocks(over: DataFrame, found: DataFrame, distance: int, cap: int) -> DataFrame:
@@ -361,7 +373,10 @@ def _across_blocks(over: DataFrame, found: DataFrame, distance: int, cap: int) -
     Only pairs of different components matter.  The group's largest component
     isn't compared with itself: the other rows are, in chunks, with each block.
     """
-    rows = over.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # numbered by part and place there: from 0 on within each key
+    placed = over.select("key", "block").distinct().withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("block")) - 1)
+    over = over.join(placed, ["key", "block"]).withColumn("block", F.col("number")).drop("number")
+    rows = cut_lineage(over.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.max("block").alias("block"))
     of_key = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), (F.max("block") + 1).alias("n_blocks"), F.sum("n").alias("n"), F.max("n").alias("n_most"))
     of_key = of_key.withColumn("n_chunks", F.ceil((F.col("n") - F.col("n_most")) / cap).cast("int")).drop("n", "n_most").filter("n_chunks > 0")
@@ -411,6 +426,9 @@ def _prefix_edges(rows: DataFrame, families: DataFrame, similarity: float) -> Da
                 yield pairs(i, i + k)
                 k += 1
             for g in np.flatnonzero(size > 64).tolist():
+                own = family[bounds[g] : bounds[g + 1]]
+                if (own == own[0]).all():  # copies of one family need no more links
+                    continue
                 for x in range(bounds[g], bounds[g + 1] - 1):
                     yield pairs(np.array([x]), np.arange(x + 1, bounds[g + 1]))
 
@@ -508,20 +526,25 @@ def _verify(texts: DataFrame, families: DataFrame, distance: int, similarity: fl
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, distance: int = 56, tables: int = 40, bits: int = 14, cap: int = 4096, block: int = 1024, seed: int = 7) -> DataFrame:
+def sampled_bits(classes: int) -> int:
+    return 14 + max(0, (max(classes, 1) - 1) // 10_000_000).bit_length()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, distance: int = 56, tables: int = 40, bits: int | None = None, cap: int = 4096, block: int = 1024, seed: int = 7) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), class_id (smallest id of the class) and kept, for every row.
 
     ``tables`` groupings by ``bits`` sampled bits; ``distance``: candidates'
     largest Hamming distance of ``BITS`` bits (at a similarity of 0.8 about 39,
     with a deviation of 6); ``cap``: rows of a group compared at once;
-    ``block``: classes of a family compared in one task.  ``bits`` should be
-    raised with the corpus, by one for each doubling beyond some ten million
-    distinct documents, and ``tables`` by a sixth with it.  They set the time
-    that is taken; which pairs are found doesn't depend on them.
+    ``block``: classes of a family compared in one task.  ``bits`` are 14, and
+    one more for each doubling beyond ten million classes, so that groups don't
+    grow with the corpus.  These numbers set the time that is taken; which pairs
+    are found doesn't depend on them.
     """
     rows = cut_lineage(sketch(docs, similarity))
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("at"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SIG])
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("at"), F.first("n").alias("n"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in SIG])
     nodes = cut_lineage(nodes)
+    bits = bits or sampled_bits(nodes.count())
     sampled = components(_candidates(nodes, distance, tables, bits, cap, seed))
     exact = _prefix_edges(rows, sampled, similarity)
     found = components(sampled.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(exact))
@@ -532,10 +555,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, distance: int = 56
     text = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), F.col("text").cast("string").alias("text"))
     texts = text.join(family, F.expr("k = text_key and d <=> doc_id"))
     linked = components(_verify(texts, family, distance, similarity, block))
-    of_node = nodes.select("node", "at").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_node = nodes.select("node", "at", "times").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     class_of = of_node.groupBy("component").agg(F.min("at").alias("first"))
-    of_node = of_node.join(class_of, "component").select("node", "first")
+    of_node = cut_lineage(of_node.join(class_of, "component").select("node", "first", "times"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
-    out = rows.select("doc_id", "text_key", "node").join(of_node, "node", "left")
+    out = join_classes(rows.select("doc_id", "text_key", "node"), of_node, "node")
     alone = F.col("node").isNull()
     return out.select("doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), (alone | kept).alias("kept"))
