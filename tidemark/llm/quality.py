@@ -4,7 +4,9 @@ A document is the mean of the learned vectors of its features: hashed words,
 hashed character n-grams (of bytes, with the word's ends marked), and a mark
 for each word that repeats the one before it or ends a three-word run met
 before in the text.  A softmax of that mean gives the score.  Vectors and
-softmax are trained by stochastic gradient descent in numpy.
+softmax are trained by stochastic gradient descent in numpy.  A feature's row
+moves along its gradient at a rate of its own: fifty times the common one, but
+so that no step exceeds that of a text of one feature.
 
 The softmax is linear in the mean, so scoring needs one number per feature:
 the vectors are folded into them when training ends.
@@ -148,7 +150,7 @@ def sgd(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int,
             back = wrong @ out
             out -= step * np.outer(wrong, hidden)
             bias -= 0.05 * step * wrong
-            # rows of a text sum to a mean of many: the step of a row is that of its share, enlarged
+            # the gradient of a row is its share times ``back``; its rate is min(50, 1 / share) times the common one
             vectors[ids] -= step * np.minimum(weight * 50, 1)[:, None] * back[None, :]
     fold = out[1] - out[0]
     return vectors @ fold, float(bias[1] - bias[0])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 import tidemark
@@ -14,8 +15,8 @@ def prepare(spark: SparkSession) -> None:
     """Let Python workers import this library and give checkpoints a home.
 
     On a cluster ``spark.checkpoint.dir`` names a folder that all executors
-    share; it is used as it stands.  Only where it is unset (tests) a folder
-    of this machine is made.
+    share; it is used as it stands.  Only where it is unset and all of Spark
+    runs in one process (tests) a folder of this machine is made.
     """
     sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(tidemark.__file__)))
@@ -24,6 +25,8 @@ def prepare(spark: SparkSession) -> None:
         sc.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
 
 

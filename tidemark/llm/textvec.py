@@ -16,7 +16,7 @@ U64 = np.uint64
 #: Bytes that one numpy pass covers; temporaries are about fifty times as many.
 WINDOW = 1 << 20
 #: Bytes of text that one chunk holds, unless a single text is longer.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
