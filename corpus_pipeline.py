@@ -1,8 +1,8 @@
 """A corpus made ready for training, in stages that are each written and read again.
 
 Every stage but the last returns the columns of ``documents``.  ``run`` writes
-each stage into the shared checkpoint folder.  Rows with equal id and text are
-the same document.
+each stage into the shared checkpoint folder and removes what came before it.
+Rows with equal id and text are the same document.
 """
 
 from __future__ import annotations
@@ -69,4 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return docs
