@@ -91,7 +91,9 @@ class Words:
             import pandas as pd
 
             run = mix(mix(mix(hashes[:-2]) + hashes[1:-1]) + hashes[2:] + text[2:].astype(np.uint64) * U64(0x9E3779B97F4A7C15))
-            self.seen[2:] = pd.Series(run).duplicated().to_numpy() & (text[2:] == text[:-2])
+            # runs across two texts are none, and must not stand for a first one either
+            inside = np.flatnonzero(text[2:] == text[:-2])
+            self.seen[inside + 2] = pd.Series(run[inside]).duplicated().to_numpy()
 
     def learn(self) -> "Words":
         self.features, self.begin = word_features(self.texts, self.hashes)

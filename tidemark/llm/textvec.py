@@ -153,5 +153,5 @@ def factorize(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive entries of ``first``; an empty segment is 0."""
     sums = np.zeros((len(values) + 1, *values.shape[1:]), np.result_type(values.dtype, np.int64) if values.dtype.kind in "iub" else np.float64)
-    np.cumsum(values, axis=0, out=sums[1:])
+    np.cumsum(values, axis=0, dtype=sums.dtype, out=sums[1:])
     return sums[first[1:]] - sums[first[:-1]]
