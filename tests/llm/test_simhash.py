@@ -1,4 +1,6 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 
@@ -7,6 +9,7 @@ from tidemark.llm.graph import components
 from tidemark.llm.simhash import near_duplicates
 
 SCHEMA = "doc_id long, text string, node string"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def brute(rows, similarity=0.8):
@@ -163,3 +166,46 @@ def test_join_of_classes(spark):
         got = join_classes(rows, classes.filter("k <> 8"), "k", heavy, 4).collect()
         assert sorted((x.id, x.k, x.most) for x in got) == [(i, *((7, 297) if i % 3 == 0 else (None, None) if i % 3 == 1 else (i, None if i == 8 else i))) for i in range(300)]
     assert join_classes(rows.limit(0), classes.limit(0), "k").count() == 0
+
+
+def test_no_shuffle_of_an_earlier_step_stays(spark):
+    """Steps remove their shuffles while their plans are still referred to."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.runtime import cut_lineage
+
+    def shuffled():
+        folder = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+        return sum(p.stat().st_size for p in folder.rglob("shuffle_*.data"))
+
+    before, setting = shuffled(), spark.conf.get(CLEANUP)
+    plan = spark.range(200_000).select(F.expr("uuid()").alias("u")).repartition(3, "u")
+    kept = cut_lineage(plan)
+    for _ in range(50):
+        if (left := shuffled() - before) < 1_000_000:
+            break
+        time.sleep(0.1)
+    assert left < 1_000_000
+    assert plan.count() == kept.count() == 200_000 and spark.conf.get(CLEANUP) == setting
+
+
+def test_filter_before_a_join_loses_no_row(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import runtime
+
+    rows = spark.createDataFrame([(i, None if i % 10 == 0 else i - 2000) for i in range(4000)], "id long, k long")
+    keys = spark.createDataFrame([(i - 2000,) for i in range(0, 4000, 7)] + [(None,)], "key long")
+    want = {i for i in range(0, 4000, 7) if i % 10}
+    for most in (1 << 27, 1 << 16):
+        monkeypatch.setattr(runtime, "MOST_BITS", most)
+        got = [r.id for r in runtime.among(rows, F.col("k"), keys, "key").collect()]
+        assert want <= set(got) and len(got) == len(set(got)) < 1000
+    assert runtime.among(rows, F.col("k"), keys.limit(0), "key").count() == 0
+
+
+def test_common_shingles_follow_the_corpus(spark):
+    """What one text in a few dozen has is known as common in a corpus of any size."""
+    rows = [(k, " ".join([f"a{k}", f"b{k}", "one two three four five", f"c{k}"] if k % 8 == 0 else [f"d{k}"]), "x") for k in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert len(simhash.common_shingles(df, sample=4)[0]) == 1

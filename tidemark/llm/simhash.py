@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components, join_classes
-from tidemark.llm.runtime import cut_lineage, prepare
+from tidemark.llm.runtime import among, cut_lineage, prepare
 from tidemark.llm.textvec import U64, chunks, mix, shingles, span_hashes, words
 
 BITS = 256
@@ -80,10 +80,12 @@ def signatures(found: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total > size, axis=1, bitorder="little").view(np.uint64)
 
 
-def common_shingles(docs: DataFrame, sample: int = 16_000, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles of about ``sample`` texts, sorted, and in how many each is.
+def common_shingles(docs: DataFrame, sample: int = 16_000, share: int = 16, least: int = 3, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of about ``sample`` texts, or of one text of ``share`` if those are more, sorted, and in how many each is.
 
-    They only set an order, so what the sample misses costs time, no pair.
+    They only set an order, so what the sample misses costs time, no pair.  A
+    shingle that it misses is in a few dozen texts, whatever their number; in a
+    fixed sample it would be in ever more, and their pairs grow with the square.
     """
     prepare(docs.sparkSession)
 
@@ -92,10 +94,10 @@ def common_shingles(docs: DataFrame, sample: int = 16_000, least: int = 3, most:
             for _, _, data, offsets in chunks(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(unique_shingles(data, offsets)[0].view(np.int64))], ["shingle"])
 
-    share = max(1, docs.count() // sample)
+    share = max(1, min(share, docs.count() // sample))
     texts = docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select(F.col("text").cast("string"))
     found = texts.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    rows = found.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    rows = cut_lineage(found.orderBy(F.desc("n"), "shingle").limit(most)).toArrow()
     shingle, n = rows.column("shingle").to_numpy().view(U64), rows.column("n").to_numpy()
     order = np.argsort(shingle)
     return shingle[order], n[order]
@@ -551,9 +553,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, distance: int = 56
     size = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / 2_000_000)).cast("int")
     family = found.join(nodes, "node").groupBy("component").agg(size.alias("n_blocks"))
     family = found.join(family, "component").select("node", F.col("component").alias("family"), "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"))
-    family = family.join(nodes, "node").select("node", "family", "n_blocks", "block", "at.doc_id", "at.text_key", *SIG)
+    family = cut_lineage(family.join(nodes, "node").select("node", "family", "n_blocks", "block", "at.doc_id", "at.text_key", *SIG))
     text = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), F.col("text").cast("string").alias("text"))
-    texts = text.join(family, F.expr("k = text_key and d <=> doc_id"))
+    # only classes that have a family are compared, so the other texts aren't shuffled
+    texts = among(text, F.col("k"), family, "text_key").join(family, F.expr("k = text_key and d <=> doc_id"))
     linked = components(_verify(texts, family, distance, similarity, block))
     of_node = nodes.select("node", "at", "times").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     class_of = of_node.groupBy("component").agg(F.min("at").alias("first"))
