@@ -1,7 +1,8 @@
 """A corpus made ready for training, in stages that are each written and read again.
 
 Every stage but the last returns the columns of ``documents``.  ``run`` writes
-each stage into the shared checkpoint folder and removes what came before it.
+each stage into the shared checkpoint folder and removes what came before it,
+its shuffles too.
 Rows with equal id and text are the same document.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.mixing import mixed
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import keep_good, train_quality
-from tidemark.llm.runtime import prepare, table
+from tidemark.llm.runtime import passing_shuffles, prepare, table
 from tidemark.llm.secrets import redact
 from tidemark.llm.simhash import near_duplicates
 
@@ -67,7 +68,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{k}")
+        made = stage(spark, docs, sf_dir)
+        with passing_shuffles(spark):
+            made.write.mode("overwrite").parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
             before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
