@@ -4,6 +4,7 @@ import io
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -134,3 +135,21 @@ def test_a_sample_is_read_up_to_a_size(spark):
     for most, want in ((10**6, 20), (1000, 10), (99, 0)):
         assert int(fit(rows, lambda batches: str(sum(b.num_rows for b in batches)).encode(), most)) == want
     assert fit(rows.limit(0), lambda batches: str(sum(b.num_rows for b in batches)).encode()) == b"0"
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Every labelled text counts, in one part or in many, and the model doesn't depend on the tasks' order."""
+    r = random.Random(4)
+    rows = [" ".join([r.choice(["vile", "nice"]), f"only{k}", f"only{k}"]) for k in range(8600)]
+    df, marks = frame(spark, rows), labels(spark, rows, "vile").filter("doc_id % 2 = 0 or doc_id < 8590").unionByName(labels(spark, rows[:3], "nice"))
+    counted = []
+    odds = toxicity.word_odds
+    monkeypatch.setattr(toxicity, "word_odds", lambda found: (counted.append((found.count(), found.select("part").distinct().count(), found.filter("held").count())), odds(found))[1])
+    want = sum(zlib.crc32(str(x.doc_id).encode()) % 5 != 0 for x in marks.select("doc_id").distinct().collect())
+    models = [toxicity.train_toxicity(df, marks, epochs=1, part=part) for part in (100_000, 1000, 1000)]
+    assert want > 6500 and [n for n, _, _ in counted] == [want] * 3 and [p for _, p, _ in counted] == [1, -(-want // 1000), -(-want // 1000)]
+    assert all(want // 6 < n < want // 4 for _, _, n in counted)
+    assert models[1] == models[2]
+    for model in models[:2]:
+        got = toxicity.score_toxicity(df, model).collect()
+        assert sum(x.predicted == ("vile" in t) for x, t in zip(got, rows, strict=True)) > 8500

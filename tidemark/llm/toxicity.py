@@ -3,12 +3,13 @@
 Words (runs of ASCII letters and digits and of other bytes, ASCII letters in
 lower case) are hashed to learned embeddings; filters of several widths pass
 over them, the largest value of each filter over the text goes into a logistic
-output.  Training is numpy (Adam, minibatches).  The first coordinate of an
+output.  Training is numpy (Adam, minibatches) over all labelled texts, in parts
+whose networks are averaged after each epoch.  The first coordinate of an
 embedding starts as the word's smoothed log odds.  Words met in fewer than
-``LEAST`` texts of the sample have the zero vector, which is also what unknown
+``LEAST`` texts trained on have the zero vector, which is also what unknown
 words have.
 
-Part of the sample isn't trained on but calibrates: the score is shifted so
+A fifth of them isn't trained on but calibrates: the score is shifted so
 that 0.5 is the best single threshold, and each language has a threshold of its
 own for ``flagged``.  The score doesn't depend on the language.
 
@@ -18,6 +19,7 @@ repeated; rows without a language use the common threshold.
 
 from __future__ import annotations
 
+import copy
 import io
 from collections.abc import Iterator
 
@@ -26,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import crc_of_id, prepare
+from tidemark.llm.runtime import crc_of_id, cut_lineage, prepare
 from tidemark.llm.textvec import chunks, span_hashes
-from tidemark.llm.training import fit, labelled
+from tidemark.llm.training import all_labelled
 
 BUCKETS = 1 << 18
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 DIM = 8
 LEAST = 3
+#: Words that a training task holds at once; steps of a logit in calibration; unit of summed changes.
+HELD_AT_ONCE, GRID, SCALE = 2_000_000, 1024, 2.0**40
 U64 = np.uint64
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -91,127 +95,248 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
 
 
-def _odds(texts: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets met in at least ``LEAST`` texts, and their smoothed log odds against the prior."""
-    ids = np.concatenate([np.unique(t) for t in texts]) if texts else np.zeros(0, np.int64)
-    mark = np.repeat(labels, [len(np.unique(t)) for t in texts]) if texts else ids
-    seen, bad = np.bincount(ids, minlength=BUCKETS), np.bincount(ids, mark, BUCKETS)
-    known = np.flatnonzero(seen >= LEAST)
-    prior = np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99)
-    share = (bad[known] + 2 * prior) / (seen[known] + 2)
-    return known, np.log(share / (1 - share)) - np.log(prior / (1 - prior))
-
-
-def train_network(texts: list[np.ndarray], labels: np.ndarray, epochs: int, rate: float, seed: int, batch: int = 32) -> tuple[np.ndarray, Network]:
-    """Known buckets, and a network whose row 0 is the unknown word and row k + 1 known[k]."""
+def start(known: np.ndarray, odds: np.ndarray, seed: int) -> Network:
+    """A network whose row 0 is the unknown word and row k + 1 known[k]."""
     rng = np.random.default_rng(seed)
-    known, odds = _odds(texts, labels)
-    row = np.zeros(BUCKETS, np.int64)
-    row[known] = np.arange(1, len(known) + 1)
     vectors = np.zeros((len(known) + 1, DIM), np.float32)
     vectors[1:] = rng.normal(0, 0.05, (len(known), DIM))
     vectors[1:, 0] = odds
     kernels = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     for k in kernels:
         k[:, 0, :] = np.abs(k[:, 0, :]) + 0.3
-    net = Network(vectors, kernels, rng.uniform(-0.5, 0, len(WIDTHS) * FILTERS).astype(np.float32), np.append(np.full(len(WIDTHS) * FILTERS, 0.1), -1).astype(np.float32), 0.0)
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()[1:]]
-    texts = [row[t] for t in texts]
-    # a text is its distinct windows' maxima: unknown words only matter as padding
-    weight = np.where(labels > 0, 0.5 / max(labels.mean(), 0.02), 0.5 / max(1 - labels.mean(), 0.02)) if len(labels) else labels
-    step = 0
-    for _ in range(epochs):
-        for at in range(0, len(texts), batch):
-            if at == 0:
-                order = rng.permutation(len(texts))
-            grads = [np.zeros_like(p) for p in net.parameters()[1:]]
-            for i in order[at : at + batch].tolist():
-                t = texts[i]
-                if not len(t):
-                    grads[-1][-1] += weight[i] * (1 / (1 + np.exp(-net.out[-1])) - labels[i])
-                    continue
-                x = net.vectors[t]
-                tops, values = [], []
-                for k in net.kernels:
-                    v = x @ k[0]
-                    for p in range(1, len(k)):
-                        v[:-p] += x[p:] @ k[p]
-                    tops.append(v.argmax(axis=0))
-                    values.append(v[tops[-1], np.arange(FILTERS)])
-                pre = np.concatenate(values) + net.bias
-                hidden = np.maximum(pre, 0)
-                z = hidden @ net.out[:-1] + net.out[-1]
-                wrong = weight[i] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[i])
-                grads[-1][:-1] += wrong * hidden
-                grads[-1][-1] += wrong
-                back = wrong * net.out[:-1] * (pre > 0)
-                grads[-2] += back
-                for w, k in enumerate(net.kernels):
-                    g = back[w * FILTERS : (w + 1) * FILTERS]
-                    for f in np.flatnonzero(g).tolist():
-                        top = tops[w][f]
-                        for p in range(min(len(k), len(t) - top)):
-                            r = t[top + p]
-                            grads[w][p, :, f] += g[f] * net.vectors[r]
-                            if r:
-                                net.vectors[r] -= rate * g[f] * k[p, :, f]
-            step += 1
-            for p, g, (m, v) in zip(net.parameters()[1:], grads, state, strict=True):
-                g /= batch
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return known, net
-
-
-def best_threshold(score: np.ndarray, labels: np.ndarray) -> float:
-    """Logit cut of fewest errors; between ties the middle one, 0 where one class is missing."""
+    return Network(vectors, kernels, rng.uniform(-0.5, 0, len(WIDTHS) * FILTERS).astype(np.float32), np.append(np.full(len(WIDTHS) * FILTERS, 0.1), -1).astype(np.float32), 0.0)
+
+
+def descend(net: Network, state: list[tuple[np.ndarray, np.ndarray]], step: int, texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, rate: float, batch: int = 32) -> int:
+    """Pass once over the texts (rows of the embeddings), in their order; the number of steps so far."""
+    for at in range(0, len(texts), batch):
+        grads = [np.zeros_like(p) for p in net.parameters()[1:]]
+        for i in range(at, min(at + batch, len(texts))):
+            t = texts[i]
+            if not len(t):
+                grads[-1][-1] += weight[i] * (1 / (1 + np.exp(-net.out[-1])) - labels[i])
+                continue
+            x = net.vectors[t]
+            tops, values = [], []
+            for k in net.kernels:
+                v = x @ k[0]
+                for p in range(1, len(k)):
+                    v[:-p] += x[p:] @ k[p]
+                tops.append(v.argmax(axis=0))
+                values.append(v[tops[-1], np.arange(FILTERS)])
+            pre = np.concatenate(values) + net.bias
+            hidden = np.maximum(pre, 0)
+            z = hidden @ net.out[:-1] + net.out[-1]
+            wrong = weight[i] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[i])
+            grads[-1][:-1] += wrong * hidden
+            grads[-1][-1] += wrong
+            back = wrong * net.out[:-1] * (pre > 0)
+            grads[-2] += back
+            for w, k in enumerate(net.kernels):
+                g = back[w * FILTERS : (w + 1) * FILTERS]
+                for f in np.flatnonzero(g).tolist():
+                    top = tops[w][f]
+                    for p in range(min(len(k), len(t) - top)):
+                        r = t[top + p]
+                        grads[w][p, :, f] += g[f] * net.vectors[r]
+                        if r:
+                            net.vectors[r] -= rate * g[f] * k[p, :, f]
+        step += 1
+        for p, g, (m, v) in zip(net.parameters()[1:], grads, state, strict=True):
+            g /= batch
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return step
+
+
+def best_threshold(score: np.ndarray, labels: np.ndarray, times: np.ndarray | int = 1) -> float:
+    """Logit cut of fewest errors; between ties the middle one, 0 where one class is missing.  ``times``: how often each entry counts."""
     if not len(labels) or labels.min() == labels.max():
         return 0.0
     order = np.argsort(score)
-    s, y = score[order], labels[order]
-    errors = np.concatenate([[0], np.cumsum(y)]) + (len(y) - y.sum() - np.concatenate([[0], np.cumsum(1 - y)]))
-    errors[1:-1][s[1:] == s[:-1]] = len(y) + 1
+    s, y, n = score[order], (labels * times)[order], ((1 - labels) * times)[order]
+    errors = np.concatenate([[0], np.cumsum(y)]) + (n.sum() - np.concatenate([[0], np.cumsum(n)]))
+    errors[1:-1][s[1:] == s[:-1]] = y.sum() + n.sum() + 1
     best = np.flatnonzero(errors == errors.min())
     k = int(best[len(best) // 2])
     low, high = s[max(k - 1, 0)], s[min(k, len(s) - 1)]
     return float((low + high) / 2 if 0 < k < len(s) else low - 0.5 if k == 0 else high + 0.5)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, size: int = 8000, epochs: int = 4, rate: float = 0.01, seed: int = 5) -> bytes:
-    """A model from at most ``size`` labelled documents whose crc32 of the id, modulo 5, isn't 0."""
-    sample = labelled(docs, labels, "toxic", crc_of_id() % 5 != 0, size)
+def _stream(batches: Iterator[pa.RecordBatch], held: bool) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Part, texts (buckets), labels and languages of the rows that are held or aren't, at most ``HELD_AT_ONCE`` words or so at a time."""
+    key, texts, marks, langs, many = None, [], [], [], 0
+    for batch in batches:
+        part, label, own = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+        lang, ids = batch.column(3), batch.column(4)
+        first, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+        for r in np.flatnonzero(own == held).tolist():
+            if texts and (part[r] != key or many > HELD_AT_ONCE):
+                yield key, texts, np.array(marks), np.array(langs)
+                texts, marks, langs, many = [], [], [], 0
+            key = int(part[r])
+            texts.append(values[first[r] : first[r + 1]].copy())
+            marks.append(int(label[r]))
+            langs.append(lang[r].as_py())
+            many += len(texts[-1])
+    if texts:
+        yield key, texts, np.array(marks), np.array(langs)
+
+
+def _rows_of(known: np.ndarray) -> np.ndarray:
+    row = np.zeros(BUCKETS, np.int32)
+    row[known] = np.arange(1, len(known) + 1)
+    return row
 
-    def train(batches: Iterator[pa.RecordBatch]) -> bytes:
-        texts, marks, langs = [], [], []
+
+def hashed_rows(sample: DataFrame, parts: int) -> DataFrame:
+    """part, label, held, lang and ids (buckets of the words) of each text, written in a fixed order within parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(3)):
+            for a, b, data, offsets in chunks(batch.column(3)):
                 ids, first = hashed(data, offsets)
-                texts += [ids[i:j].astype(np.int32) for i, j in zip(first[:-1], first[1:], strict=True)]
-            marks += batch.column(1).to_pylist()
-            langs += batch.column(2).to_pylist()
-        return fit_texts(texts, np.array(marks, np.int64), langs, epochs, rate, seed)
+                ids = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), ids], ["doc_id", "label", "lang", "ids"])
 
-    return fit(sample, train)
+    rows = sample.mapInArrow(run, "doc_id long, label int, lang string, ids array<int>")
+    draw = lambda k: F.xxhash64("doc_id", F.lit(k))
+    rows = rows.select(F.pmod(draw(1), F.lit(parts).cast("long")).cast("int").alias("part"), "label", (F.pmod(draw(2), F.lit(5).cast("long")) == 4).alias("held"), "lang", "ids", draw(3).alias("h"), "doc_id")
+    # more tasks than parts, so that few tasks have two of them
+    rows = rows.repartition(4 * parts, "part").sortWithinPartitions("part", "h", "doc_id")
+    return cut_lineage(rows.select("part", "label", "held", "lang", "ids"))
 
 
-def fit_texts(texts: list[np.ndarray], labels: np.ndarray, langs: list[str], epochs: int, rate: float, seed: int) -> bytes:
-    held = np.arange(len(texts)) % 5 == 4
-    learn = [t for t, h in zip(texts, held, strict=True) if not h]
-    known, net = train_network(learn, labels[~held], epochs, rate, seed)
-    row = np.zeros(BUCKETS, np.int64)
-    row[known] = np.arange(1, len(known) + 1)
-    tests = [row[t] for t, h in zip(texts, held, strict=True) if h]
-    y, where = labels[held], np.array([g for g, h in zip(langs, held, strict=True) if h])
-    first = np.concatenate([[0], np.cumsum([len(t) for t in tests])]).astype(np.int64)
-    rows = np.concatenate(tests) if tests else np.zeros(0, np.int64)
-    z = net.features(rows, first, net.folded()) @ net.out[:-1] + net.out[-1] if tests else np.zeros(0)
-    net.shift = -best_threshold(z, y)
+def word_odds(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Buckets met in at least ``LEAST`` texts, their smoothed log odds against the prior, and the labels' mean."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last place counts the texts
+        seen, bad = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+        for _, texts, marks, _ in _stream(batches, False):
+            for t, y in zip(texts, marks.tolist(), strict=True):
+                t = np.append(np.unique(t), BUCKETS)
+                seen[t] += 1
+                bad[t] += y
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at]), pa.array(bad[at])], ["at", "seen", "bad"])
+
+    found = rows.mapInArrow(run, "at long, seen long, bad long").groupBy("at").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+    found = cut_lineage(found).orderBy("at").toArrow()  # at most BUCKETS + 1 rows
+    at, seen, bad = (c.to_numpy() for c in found.columns)
+    mean = float(bad[-1] / seen[-1]) if len(at) else 0.5
+    take = (seen >= LEAST) & (at < BUCKETS)
+    prior = np.clip(mean, 0.01, 0.99)
+    share = (bad[take] + 2 * prior) / (seen[take] + 2)
+    return at[take], np.log(share / (1 - share)) - np.log(prior / (1 - prior)), mean
+
+
+def _flat(net: Network, state: list[tuple[np.ndarray, np.ndarray]], step: float) -> np.ndarray:
+    """All but the embeddings, in rows of ``DIM`` numbers."""
+    flat = np.concatenate([x.ravel() for x in net.parameters()[1:]] + [x.ravel() for pair in state for x in pair] + [np.array([step])]).astype(np.float64)
+    return np.append(flat, np.zeros(-len(flat) % DIM)).reshape(-1, DIM)
+
+
+def _fill(net: Network, state: list[tuple[np.ndarray, np.ndarray]], flat: np.ndarray) -> int:
+    at, flat = 0, flat.ravel()
+    for x in net.parameters()[1:] + [x for pair in state for x in pair]:
+        x[...] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+    for _, v in state:
+        np.maximum(v, 0, out=v)
+    return round(flat[at])
+
+
+def one_epoch(rows: DataFrame, known: np.ndarray, net: Network, state: list[tuple[np.ndarray, np.ndarray]], step: int, mean: float, rate: float, seed: int) -> int:
+    """Train each part from the same network, and put the mean of the changes into it.
+
+    An embedding changes by the mean over the parts that change it.  Changes are
+    summed as integers, so that the order of the tasks doesn't matter.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((known, net, state, step))  # at most BUCKETS rows, whatever the data
+    weights = np.array([0.5 / max(1 - mean, 0.02), 0.5 / max(mean, 0.02)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, first, *_ = shared.value
+        row = _rows_of(known)
+        began = _flat(*shared.value[1:])
+
+        def change() -> pa.RecordBatch:
+            moved = np.flatnonzero((own.vectors != first.vectors).any(axis=1))
+            dense = _flat(own, own_state, n) - began
+            place = np.concatenate([moved, -1 - np.arange(len(dense))])
+            delta = np.concatenate([own.vectors[moved].astype(np.float64) - first.vectors[moved], dense])
+            delta = np.round(delta * SCALE).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(place), *[pa.array(np.ascontiguousarray(delta[:, k])) for k in range(DIM)]], ["place", *names])
+
+        key = None
+        for part, texts, marks, _ in _stream(batches, False):
+            if part != key:
+                if key is not None:
+                    yield change()
+                key, (own, own_state, n) = part, copy.deepcopy(shared.value[1:])
+                rng = np.random.default_rng([seed, n, part])
+            order = rng.permutation(len(texts))
+            n = descend(own, own_state, n, [row[texts[i]] for i in order.tolist()], marks[order], weights[marks[order]], rate)
+        if key is not None:
+            yield change()
+
+    names = [f"d{k}" for k in range(DIM)]
+    made = rows.mapInArrow(run, "place long, " + ", ".join(f"{c} long" for c in names))
+    made = cut_lineage(made.groupBy("place").agg(F.count("*").alias("many"), *[F.sum(c).alias(c) for c in names])).toArrow()
+    shared.unpersist()
+    place, many = made.column("place").to_numpy(), made.column("many").to_numpy()
+    delta = np.stack([made.column(c).to_numpy() for c in names], axis=1) / SCALE / many[:, None]
+    net.vectors[place[place > 0]] += delta[place > 0].astype(np.float32)
+    flat = _flat(net, state, step)
+    flat[-1 - place[place < 0]] += delta[place < 0]
+    return _fill(net, state, flat)
+
+
+def calibrate(rows: DataFrame, known: np.ndarray, net: Network) -> tuple[list[str], list[float]]:
+    """Shift the score, and give languages and their thresholds, by all rows that are held; logits are rounded to ``1 / GRID``."""
+    shared = rows.sparkSession.sparkContext.broadcast((known, net))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, net = shared.value
+        row, folded = _rows_of(known), net.folded()
+        for _, texts, marks, langs in _stream(batches, True):
+            first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            z = net.features(row[np.concatenate(texts)], first, folded) @ net.out[:-1] + net.out[-1]
+            at = np.round(np.clip(z.astype(np.float64), -40, 40) * GRID).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(langs.tolist(), pa.string()), pa.array(at), pa.array(marks.astype(np.int64))], ["lang", "at", "label"])
+
+    found = rows.mapInArrow(run, "lang string, at long, label long").groupBy("lang", "at", "label").agg(F.count("*").alias("n"))
+    found = cut_lineage(found).orderBy("lang", "at", "label").toArrow()  # at most 80 GRID numbers for each language and label
+    shared.unpersist()
+    where, (at, y, n) = np.array(found.column("lang").to_pylist()), (found.column(c).to_numpy() for c in ("at", "label", "n"))
+    z = at / GRID
+    net.shift = -best_threshold(z, y, n)
     names, cuts = [], []
     for g in sorted(set(where.tolist())):
-        if g and (y[where == g] > 0).sum() >= 5:
+        own = where == g
+        if g and (n * y)[own].sum() >= 5:
             names.append(g)
-            cuts.append(1 / (1 + np.exp(-(best_threshold(z[where == g], y[where == g]) + net.shift))))
+            cuts.append(1 / (1 + np.exp(-(best_threshold(z[own], y[own], n[own]) + net.shift))))
+    return names, cuts
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, epochs: int = 4, rate: float = 0.01, seed: int = 5, part: int = 8000, most_parts: int = 256) -> bytes:
+    """A model from all labelled documents whose crc32 of the id, modulo 5, isn't 0.
+
+    They are trained on in parts of about ``part`` rows, of more where there
+    would be over ``most_parts``; after each epoch the parts' networks become one.
+    """
+    prepare(docs.sparkSession)
+    sample, many = all_labelled(docs, labels, "toxic", crc_of_id() % 5 != 0)
+    rows = hashed_rows(sample, min(most_parts, max(1, -(-many // part))))
+    known, odds, mean = word_odds(rows)
+    net = start(known, odds, seed)
+    state, step = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()[1:]], 0
+    for _ in range(epochs):
+        step = one_epoch(rows, known, net, state, step, mean, rate, seed)
+    names, cuts = calibrate(rows, known, net)
     out = io.BytesIO()
     np.savez(out, known=known.astype(np.int32), vectors=net.vectors, bias=net.bias, out=net.out, shift=net.shift, langs=np.array(names, "U16"), cuts=np.array(cuts, float), **{f"k{w}": k for w, k in enumerate(net.kernels)})
     return out.getvalue()

@@ -1,4 +1,6 @@
-"""Bounded labelled samples, and models fitted by one task.
+"""Labelled documents: all of them, or bounded samples and models fitted by one task.
+
+What follows holds for the samples.
 
 The bound (``size`` rows of labels, chosen by a hash of the id) is a parameter
 of each classifier; scoring covers all rows.  The sample's ids are few enough
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import prepare
+from tidemark.llm.runtime import among, cut_lineage, prepare
 
 
 def smallest_hashes(rows: DataFrame, name: str, size: int) -> DataFrame:
@@ -48,6 +50,16 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, size
     return rows.groupBy("doc_id", "label").agg(F.max(F.struct("text", "lang")).alias("x")).select("doc_id", "label", "x.lang", "x.text")
 
 
+def all_labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> tuple[DataFrame, int]:
+    """What :func:`labelled` gives, of all labelled documents, and how many ids have labels."""
+    chosen = labels.filter(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    chosen = cut_lineage(chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).cast("int").alias("label")))
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
+    rows = among(rows, F.col("doc_id"), chosen, "doc_id").join(chosen, "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.max(F.struct("text", "lang")).alias("x")).select("doc_id", "label", "x.lang", "x.text"), chosen.count()
+
+
 def fit(sample: DataFrame, train: Callable[[Iterator[pa.RecordBatch]], bytes], most_bytes: int = 1 << 28) -> bytes:
     """The model that ``train`` makes of the bounded sample, in one task, in a fixed order."""
     prepare(sample.sparkSession)
