@@ -47,6 +47,17 @@ def test_history_holds_late_events_and_those_without_instant(spark, tmp_path):
         assert canonical(QUERIES[name](spark, str(tmp_path)).select("key", "event_id").collect()) == canonical(want)
 
 
+def test_compacted_state_of_users_without_late_events(spark, tmp_path):
+    """Of two upserts that start at one instant the second has the newer rows."""
+    rows = [(1, 1, "2024-01-05"), (2, 1, "2024-01-10"), (3, 2, "2024-01-06"), (4, 3, "2024-01-11"), (5, 3, "2024-01-17")]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, t string").selectExpr("event_id", "user_id", "CAST(t AS timestamp_ntz) AS ts", "'view' AS event_type", "1.0D AS value")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(f"SELECT key, event_id FROM ({ORACLES['c4_many_files_compacted']})").fetchall()
+    assert canonical(QUERIES["c4_many_files_compacted"](spark, str(tmp_path)).select("key", "event_id").collect()) == canonical(want)
+
+
 def test_precedence_is_told_from_the_latest(spark):
     """The table ``layers`` has many keys whose winner isn't their latest event."""
     row = QUERIES["r7_not_the_latest"](spark, DIR).first()

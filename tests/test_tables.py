@@ -261,6 +261,22 @@ def test_many_files(lake, spark):
     assert dict(values(lake.scan("wide")))["7"] == "last" and dict(values(lake.scan("wide")))["8"] == dict(state["2024-12-01"])["8"]
 
 
+def test_upserts_that_start_at_one_instant(lake, spark):
+    """The last one wins, before and after a compaction, also where a later start ends before it."""
+    schema = TableSchema((ColumnDef("value", "String"),))
+    row = lambda key, when, value: spark.sql(f"select '{key}' key, timestamp'{when} 00:00:00Z' event_time, '{value}' value")
+    create(lake, "again", schema, at("2024-01-01"))
+    upsert(lake, "again", row("1", "2024-01-01", "first").union(row("2", "2024-01-01", "only")), at("2024-01-01"), at("2024-01-01"), files=2)
+    upsert(lake, "again", row("1", "2024-01-09", "second"), at("2024-01-01"), at("2024-01-09"))
+    assert values(lake.scan("again")) == [("1", "second"), ("2", "only")]
+    upsert(lake, "again", row("1", "2024-01-08", "reaches").union(row("2", "2024-02-20", "reaches")), at("2024-01-05"), at("2024-03-01"))
+    upsert(lake, "again", row("1", "2024-01-07", "later start"), at("2024-01-06"), at("2024-01-07"))
+    state = {d: values(lake.scan("again", at(d))) for d in ("2024-01-02", "2024-01-20", "2024-02-25")}
+    assert state == {"2024-01-02": [("1", "first"), ("2", "only")], "2024-01-20": [("1", "later start"), ("2", "only")], "2024-02-25": [("1", "later start"), ("2", "reaches")]}
+    compact(lake, "again", at("2024-01-15"), files=2)
+    assert {d: values(lake.scan("again", at(d))) for d in state} == state
+
+
 def test_equal_names_in_different_folders(lake, spark):
     import pathlib
 
