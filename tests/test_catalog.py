@@ -58,6 +58,29 @@ def test_compacted_state_of_users_without_late_events(spark, tmp_path):
     assert canonical(QUERIES["c4_many_files_compacted"](spark, str(tmp_path)).select("key", "event_id").collect()) == canonical(want)
 
 
+def test_large_files_are_folders_of_parts(spark, tmp_path, monkeypatch):
+    """No task sorts a whole file; precedence and place within it are the same."""
+    from pathlib import Path
+
+    from tidemark import writer
+    from tidemark.operators import scan
+    from tidemark.plans import catalog
+
+    monkeypatch.setattr(writer, "ROWS_A_FILE", 200, raising=False)
+    (tmp_path / "events.parquet").symlink_to(f"{DIR}/events.parquet")
+    root = Path(catalog.lakehouse(spark, str(tmp_path)).removeprefix("file:"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{DIR}/events.parquet'")
+    for table, file in (("history", "delta2"), ("layers", "closed")):
+        assert len([*(root / table / f"{file}.parquet").glob("*.parquet")]) > 1
+    for cases in (scan.CASES, 1):  # by CASE, and by a join with the list
+        monkeypatch.setattr(scan, "CASES", cases)
+        for name in ("r8_scan_current", "r8_scan_as_of", "r3_before_history", "r5_layers_at_both_ends", "r7_not_the_latest", "q5_own_query", "x3_explain", "r5_file_list"):
+            df = QUERIES[name](spark, str(tmp_path))
+            columns = ", ".join(df.columns)
+            assert canonical(df.collect()) == canonical(con.sql(f"SELECT {columns} FROM ({ORACLES[name]})").fetchall()), name
+
+
 def test_precedence_is_told_from_the_latest(spark):
     """The table ``layers`` has many keys whose winner isn't their latest event."""
     row = QUERIES["r7_not_the_latest"](spark, DIR).first()
