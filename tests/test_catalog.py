@@ -81,6 +81,16 @@ def test_large_files_are_folders_of_parts(spark, tmp_path, monkeypatch):
             assert canonical(df.collect()) == canonical(con.sql(f"SELECT {columns} FROM ({ORACLES[name]})").fetchall()), name
 
 
+def test_one_sketch_and_not_one_for_each_key(spark, tmp_path):
+    spark.sql("select * from values (1L), (1L), (2L), (null) t(l_partkey)").write.parquet(f"{tmp_path}/some/lineitem.parquet")
+    spark.sql("select 1L l_partkey where false").write.parquet(f"{tmp_path}/none/lineitem.parquet")
+    for name, want in (("some", (4, True)), ("none", (0, True))):
+        assert tuple(QUERIES["a3_approximate"](spark, f"{tmp_path}/{name}").select("n", "near").first()) == want
+    plan = QUERIES["a3_approximate"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    by_key = [x for x in plan.split("\n") if "Aggregate(key" in x and "keys=[l_partkey" in x]
+    assert by_key and not any("approx" in x for x in by_key)
+
+
 def test_precedence_is_told_from_the_latest(spark):
     """The table ``layers`` has many keys whose winner isn't their latest event."""
     row = QUERIES["r7_not_the_latest"](spark, DIR).first()
