@@ -277,6 +277,23 @@ def test_upserts_that_start_at_one_instant(lake, spark):
     assert {d: values(lake.scan("again", at(d))) for d in state} == state
 
 
+def test_folder_of_csv_files(lake, spark):
+    """Each file becomes a part of its own, with its rows in their order, by as many tasks; settings are as before."""
+    import pathlib
+
+    root = pathlib.Path(lake.store.root) / "parted"
+    (root / "x.csv").mkdir(parents=True)
+    (root / "version.txt").write_text("1")
+    (root / "s1.json").write_text(snapshot([seg(1, "2024-01-01", file="x.parquet")], [("value", "String")]).to_json())
+    for k in range(20):
+        (root / "x.csv" / f"{k}.csv").write_text("\n".join(f"{k},{day(f'02-{d:02d}')},{k}-{d}" for d in (5, 9, 1) for _ in range(k + 1)))
+    name = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(name)
+    assert main(["gen", "--path", lake.store.root, "--table", "parted", "--file", str(root / "x.csv")], spark) == 0
+    assert spark.conf.get(name) == old and len([*(root / "x.parquet").glob("*.parquet")]) == 20
+    assert values(lake.scan("parted")) == sorted((str(k), f"{k}-5") for k in range(20))
+
+
 def test_equal_names_in_different_folders(lake, spark):
     import pathlib
 
